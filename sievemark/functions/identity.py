@@ -67,3 +67,10 @@ def digest128(text: Column) -> Column:
             F.conv(F.substring(digits, 17, 16), 16, -10).cast("bigint").alias("lo"),
         ),
     )
+
+
+def digest_text(text: Column) -> Column:
+    """A 128-bit digest as 32 lower-case hexadecimal digits; null if the text is none."""
+    bare = F.translate(F.lower(text), WHITE_SPACE + ":-_", "")
+    digits = F.when(F.startswith(bare, F.lit("md5")), F.substr(bare, F.lit(4))).otherwise(_digits(text))
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), digits)

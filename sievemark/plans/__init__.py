@@ -1,6 +1,6 @@
 """Named queries over a folder of tables."""
 
-from . import references  # noqa: F401
+from . import audit, references, scores  # noqa: F401
 from .catalogue import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
