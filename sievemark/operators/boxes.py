@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import Workspace
 from .ordered import running
@@ -117,8 +118,9 @@ def match(targets: DataFrame, boxes: DataFrame, iou_threshold: float = 0.5) -> D
     clean = boxes.where("image is not null and conf is not null").select("image", "box", F.col("conf").cast("double").alias("conf"), F.lit(False).alias("is_target"), *CORNERS)
     aims = targets.where("image is not null").select("image", "box", F.lit(None).cast("double").alias("conf"), F.lit(True).alias("is_target"), *CORNERS)
     rows = aims.union(clean)
-    out = clean.select("image", "box", "conf", F.col("box").alias("target"), F.col("x1").cast("double").alias("iou")).schema
-    box_type = pa.int64() if out["box"].dataType.simpleString() == "bigint" else pa.string()
+    kinds = [("image", clean.schema["image"].dataType), ("box", clean.schema["box"].dataType), ("conf", T.DoubleType()), ("target", aims.schema["box"].dataType), ("iou", T.DoubleType())]
+    out = T.StructType([T.StructField(n, k) for n, k in kinds])
+    box_type = pa.int64() if out["target"].dataType.simpleString() == "bigint" else pa.string()
 
     def pair(table: pa.Table) -> pa.Table:
         is_target = table["is_target"].to_numpy(zero_copy_only=False)
@@ -263,7 +265,7 @@ def alignment_errors(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """(image, error): bottleneck distance of an image's boxes in two formats, for images with reference boxes."""
     a = reference.select("image", F.lit(0).alias("side"), *CORNERS)
     b = candidate.join(reference.select("image").distinct(), "image", "left_semi").select("image", F.lit(1).alias("side"), *CORNERS)
-    schema = a.select("image", F.lit(0.0).alias("error")).schema
+    schema = T.StructType([T.StructField("image", a.schema["image"].dataType), T.StructField("error", T.DoubleType())])
 
     def align(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy(zero_copy_only=False)

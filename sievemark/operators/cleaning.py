@@ -39,21 +39,23 @@ def duplicate_members(records: DataFrame, groups: DataFrame, digest: str) -> Dat
 def label_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(node, root) of each node with an edge: root is the smallest node of its component.
 
-    Every node takes the smallest label around it, then its label's label, until nothing changes;
-    jumping keeps the rounds logarithmic in practice. Each round is a written table.
+    In each round every node, and the root it hangs from, takes the smallest root around the node, and then its
+    root's root; trees merge and flatten at once, so rounds are logarithmic. Each is a written table.
     """
     tidy = edges.where("u != v").select("u", "v").union(edges.where("u != v").select(F.col("v"), F.col("u"))).distinct()
     both = ws.keep(tidy, "edges")
     labels = ws.keep(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
-        around = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("m"))
-        lower = labels.join(around, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = ws.keep(lower.join(jump, "root").select("node", F.least("root", "top").alias("root"), "old"), "labels")
-        changed = not new.where("root != old").isEmpty()
+        around = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
+        seen = labels.join(around, F.col("node") == F.col("u"))
+        offers = seen.select("node", "near").union(seen.select(F.col("root").alias("node"), "near")).groupBy("node").agg(F.min("near").alias("near"))
+        hooked = ws.keep(labels.join(offers, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")), "hooked")
+        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        new = ws.keep(hooked.join(jump, "root").select("node", F.least("root", "top").alias("root"), "old"), "labels")
+        ws.drop(hooked)
         ws.drop(labels)
         labels = new
-        if not changed:
+        if labels.where("root != old").isEmpty():
             return labels.select("node", "root")
 
 
