@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,21 +134,43 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, overlap / union).otherwise(0.0)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fixed(value: Column, digits: int) -> Column:
     """A double below about 1e6 in size with so many decimals, rounded from its exact binary value.
 
-    The value is split so that both products are exact to far below the distance of any double from a tie;
-    exact ties go to the even digit.
+    The value is split so that the coarse part's product is exact; of the fine part's product the rounding error is
+    computed too, by halving the factor's bits, and decides what looks like a tie. Exact ties go to the even digit.
     """
-    size, power = F.abs(value), float(10**digits)
-    coarse = F.floor(size * float(1 << 26)) / float(1 << 26)
-    scaled = coarse * power
-    whole = F.floor(scaled)
-    # halves are even or odd with the whole part, so its last bit goes into the rounding
-    rest = (scaled - whole) + (size - coarse) * power + F.pmod(whole, F.lit(2))
-    number = (whole - F.pmod(whole, F.lit(2)) + F.rint(rest)).cast("bigint")
-    text = F.concat(F.floor(number / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad(F.pmod(number, F.lit(10**digits)).cast("string"), digits, "0"))
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    power = float(10**digits)
+
+    def split(size: Column) -> Column:
+        coarse = F.floor(size * float(1 << 26)) / float(1 << 26)
+        return bound(F.struct((coarse * power).alias("scaled"), (size - coarse).alias("fine")), halve)
+
+    def halve(t: Column) -> Column:
+        spread = t["fine"] * 134217729.0
+        return bound(F.struct(t["scaled"].alias("scaled"), t["fine"].alias("fine"), (spread - (spread - t["fine"])).alias("high"), F.floor(t["scaled"]).alias("whole")), weigh)
+
+    def weigh(t: Column) -> Column:
+        product = t["fine"] * power
+        error = (t["high"] * power - product) + (t["fine"] - t["high"]) * power
+        # halves are even or odd with the whole part, so its last bit goes into the rounding
+        bit = F.pmod(t["whole"], F.lit(2))
+        return bound(F.struct(((t["scaled"] - t["whole"]) + product + bit).alias("rest"), error.alias("error"), (t["whole"] - bit).alias("even")), settle)
+
+    def settle(t: Column) -> Column:
+        below = F.floor(t["rest"])
+        tie = t["rest"] - below == 0.5
+        return (t["even"] + F.when(tie & (t["error"] > 0), below + 1).when(tie & (t["error"] < 0), below).otherwise(F.rint(t["rest"]))).cast("bigint")
+
+    def show(number: Column) -> Column:
+        return F.concat(F.floor(number / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad(F.pmod(number, F.lit(10**digits)).cast("string"), digits, "0"))
+
+    return F.concat(F.when(value < 0, "-").otherwise(""), bound(split(F.abs(value)), show))
 
 
 def yolo_polygon(points: Column, width: Column, height: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import bound
+
 SLACK = 1e-3
 
 
@@ -56,16 +58,18 @@ def parsed_label(line: str = "line") -> list[Column]:
 
 
 def label_fault(line: str = "line") -> Column:
-    """malformed, out of range, or null for a good label line of class 0."""
-    parts = label_fields(F.col(line))
-    values = [F.get(parts, F.lit(i)).try_cast("double") for i in range(5)]
-    malformed = (F.size(parts) != 5) | values[0].isNull()
-    for v in values[1:]:
-        malformed = malformed | v.isNull()
-    outside = (values[0] != 0) | (values[3] <= 0) | (values[4] <= 0)
-    for v in values[1:]:
-        outside = outside | (v < 0) | (v > 1) | F.isnan(v)
-    return F.when(malformed, "malformed").when(outside, "out of range")
+    """malformed, out of range, or null for a good label line of class 0; a null line is no line."""
+
+    def numbers(parts: Column) -> Column:
+        return bound(F.transform(parts, lambda x: x.try_cast("double")), fault)
+
+    def fault(v: Column) -> Column:
+        malformed = (F.size(v) != 5) | F.exists(v, lambda x: x.isNull())
+        at = lambda i: F.get(v, F.lit(i))
+        outside = (at(0) != 0) | (at(3) <= 0) | (at(4) <= 0) | F.exists(F.slice(v, 2, 4), lambda x: (x < 0) | (x > 1) | F.isnan(x))
+        return F.when(malformed, "malformed").when(outside, "out of range")
+
+    return F.when(F.col(line).isNotNull(), bound(label_fields(F.col(line)), numbers))
 
 
 def split_listing_faults(listing: DataFrame, positives: DataFrame) -> DataFrame:

@@ -395,7 +395,9 @@ def yolo_strict_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("yolo_to_xyxy", _YOLO + " select annotation_id, image_id, (cx - bw / 2) * width as x1, (cy - bh / 2) * height as y1, (cx + bw / 2) * width as x2, (cy + bh / 2) * height as y2 from yl join inv using (image_id) where coalesce(iscrowd, 0) <> 1")
 def yolo_to_xyxy(spark: SparkSession, folder: str) -> DataFrame:
     """Label text parsed back into pixel corners; malformed lines are left out."""
-    lines = label_lines(spark, folder).where(F.coalesce(validate.label_fault(), F.lit("")) != "malformed").select("annotation_id", "image_id", *validate.parsed_label())
+    fields = scalar.bound(validate.label_fields(F.col("line")), lambda p: F.transform(p, lambda x: x.try_cast("double")))
+    lines = label_lines(spark, folder).select("annotation_id", "image_id", fields.alias("v")).where("size(v) = 5 and not exists(v, x -> x is null)")
+    lines = lines.select("annotation_id", "image_id", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(("class_id", "cx", "cy", "w", "h"))])
     sized = lines.join(inventory(spark, folder, "image_id", "width", "height"), "image_id")
     return sized.select("annotation_id", "image_id", *scalar.corners_from_yolo(*[F.col(c) for c in ("cx", "cy", "w", "h", "width", "height")]))
 
