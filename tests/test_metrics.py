@@ -76,6 +76,50 @@ def test_bootstrap_brackets_the_estimate(spark, ws):
     assert r["auroc"]["lower_95"] <= ranking.roc_auc(s, ws).first()[0] <= r["auroc"]["upper_95"]
 
 
+@pytest.mark.parametrize("cells", [400, 8_000_000])
+def test_bootstrap_ranked_against_plain_python(spark, ws, cells):
+    rng = random.Random(11)
+    rows = [(f"k{i}", rng.randrange(2), round(rng.random(), 1 + i % 2)) for i in range(150)]
+    s = spark.createDataFrame(rows, "key string, label int, probability double")
+    u = (F.pmod(F.xxhash64("key", "replicate", F.lit(3)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = {}
+    for r in s.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("u", u).collect():
+        total, w = 0.0, 0
+        for k in range(12):
+            total += math.exp(-1.0) / math.factorial(k)
+            w += r.u > total
+        drawn.setdefault(r.replicate, []).extend([(-r.probability, r.key, r.label)] * w)
+    values = {"auroc": [], "auprc": []}
+    for sample in drawn.values():
+        sample.sort()
+        tp, hits = 0, 0.0
+        for n, (_, _, y) in enumerate(sample, 1):
+            tp += y
+            hits += y * tp / n
+        values["auprc"].append(hits / tp)
+        pos, neg = [-a for a, _, y in sample if y], [-a for a, _, y in sample if not y]
+        values["auroc"].append(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
+    got = {r["metric"]: r for r in ranking.bootstrap_ranked(s, ws, 40, 3, cells).collect()}
+    assert set(got) == set(values)
+    for name, v in values.items():
+        v.sort()
+        for column, q in (("lower_95", 0.025), ("upper_95", 0.975)):
+            at = q * (len(v) - 1)
+            want = v[int(at)] + (at - int(at)) * (v[int(at) + 1] - v[int(at)])
+            assert math.isclose(got[name][column], want, rel_tol=1e-9), (name, column)
+
+
+def test_bootstrap_ci_is_whole(spark):
+    import inspect
+
+    import oracle
+    from sievemark.plans.scores import bootstrap_ci
+
+    assert inspect.signature(bootstrap_ci).parameters["replicates"].default == 1000
+    found = {r["metric"] for r in bootstrap_ci(spark, oracle.DATA).collect()}
+    assert found == {"auroc", "auprc", "sensitivity", "specificity", "balanced_accuracy", "f1", "ece_10_bin", "brier"}
+
+
 @pytest.mark.parametrize(("score", "tier"), [(0.243522, "low"), (0.30314465408805, "medium"), (0.40, "medium"), (0.40748427672956, "high"), (0.95, "high"), (-0.01, None), (1.01, None)])
 def test_tiers(spark, score, tier):
     assert spark.range(1).select(scalar.confidence_tier(F.lit(score), 0.30314465408805, 0.40748427672956)).first()[0] == tier
