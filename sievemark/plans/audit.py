@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -170,12 +170,31 @@ def near_pair_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("contact_sheet_pages", "select pair_id, place, ((place - 1) // 10)::bigint as page from (select pair_id, row_number() over (order by phash_distance, dhash_distance, global_ssim desc, pair_id) as place from near_pair where phash_distance is not null and dhash_distance is not null and global_ssim is not null)")
 def contact_sheet_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs in review order, ten to a page."""
+    """Fully measured pairs in review order, ten to a page.
+
+    A pair with a null distance or ssim has no row here; ``contact_sheet_all_pages`` pages those too.
+    """
     rows = table(spark, folder, "near_pair", "pair_id", "phash_distance", "dhash_distance", "global_ssim").where("phash_distance is not null and dhash_distance is not null and global_ssim is not null")
     placed = numbered(rows, Workspace(spark, "pages"), [F.col("phash_distance"), F.col("dhash_distance"), F.col("global_ssim").desc(), F.col("pair_id")], "place")
     return placed.select("pair_id", "place", F.floor((F.col("place") - 1) / 10).alias("page"))
 
 
+_REVIEW_SQL = "phash_distance nulls last, dhash_distance nulls last, global_ssim desc nulls last, pair_id"
+
+
+def review_order() -> list[Column]:
+    """The nearest pair first; what was not measured comes last; then by pair_id."""
+    return [F.col("phash_distance").asc_nulls_last(), F.col("dhash_distance").asc_nulls_last(), F.col("global_ssim").desc_nulls_last(), F.col("pair_id").asc()]
+
+
+@query("contact_sheet_all_pages", f"select pair_id, place, ((place - 1) // 10)::bigint as page from (select pair_id, row_number() over (order by {_REVIEW_SQL}) as place from near_pair)")
+def contact_sheet_all_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of near_pair in review order, ten to a page; a null distance or ssim sorts after any number."""
+    rows = table(spark, folder, "near_pair", "pair_id", "phash_distance", "dhash_distance", "global_ssim")
+    placed = numbered(rows, Workspace(spark, "allpages"), review_order(), "place")
+    return placed.select("pair_id", "place", F.floor((F.col("place") - 1) / 10).alias("page"))
+
+
 _REACH = "both_ways as (select a, b from np union select b, a from np), reach(a, b) as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a)"
 
 

@@ -166,3 +166,13 @@ def test_cascade_inherits_down_the_graph(spark, ws):
     assert got == {("one", 1, "direct"), ("one", 3, "direct"), ("two", 1, "inherited"), ("three", 1, "inherited"), ("three", 4, "inherited")}
     loop = [orphans.Reference("one", "two", "a"), orphans.Reference("two", "one", "a")]
     assert orphans.cascade({k: tables[k] for k in ("one", "two")}, loop, ws).count() >= 3
+
+
+def test_every_near_pair_reaches_a_page(spark, tmp_path):
+    from sievemark import plans
+
+    rows = [(1, None, 1, 0.9), (2, 0, None, 0.9), (3, 0, 2, None), (4, 0, 2, 0.5), (5, 4, 0, 0.99), (6, None, None, None)] + [(i, 3, 3, 0.5) for i in range(7, 13)]
+    spark.createDataFrame(rows, "pair_id bigint, phash_distance int, dhash_distance int, global_ssim double").write.parquet(f"{tmp_path}/near_pair.parquet")
+    pages = sorted(plans.QUERIES["contact_sheet_all_pages"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert [r.pair_id for r in pages] == [4, 3, 2, *range(7, 13), 5, 1, 6]
+    assert [r.place for r in pages] == list(range(1, 13)) and [r.page for r in pages] == [0] * 10 + [1] * 2
