@@ -89,13 +89,10 @@ def _plan(strata: DataFrame, targets: DataFrame, one_in: int) -> list[tuple]:
     return rows
 
 
-def draw(image_record: DataFrame, targets: DataFrame, ws: Workspace, one_in: int = 10, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(sample, report) of one image in ``one_in``, in the target's proportions.
+def ranked_records(image_record: DataFrame, targets: DataFrame, ws: Workspace, one_in: int = 10, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(ranked, report): every record of a listed stratum with its rank and whether it is drawn, and the report of ``draw``.
 
-    sample: (image_id, stratum_id, priority), the images with the smallest priorities, floor
-    records first, in a random order per stratum that depends only on image_id and seed.
-    report: one row per listed stratum with available, needed, seats, shortfall and shares.
-    Null or unlisted strata get no seat. With no images both are zero rows or zero counts.
+    ranked: (image_id, stratum_id, priority, drawn).
     """
     spark = image_record.sparkSession
     strata = ws.keep(strata_of(image_record, targets), "strata")
@@ -106,19 +103,33 @@ def draw(image_record: DataFrame, targets: DataFrame, ws: Workspace, one_in: int
         strata.where(F.col("stratum_id").isNotNull()).select("image_id", "stratum_id", hash_order(F.col("image_id"), seed).alias("_order"), F.lit(1).cast("bigint").alias("_one")),
         "stratum_id", "_order", "image_id", "_one", "_rank",
     )
-    sample = (
-        ranked.join(F.broadcast(limits), (F.col("stratum_id") == F.col("_s")) & (F.col("_rank") <= F.col("_seats")))
-        .select("image_id", "stratum_id", F.when(F.col("_share") > 0, (F.col("_rank") - 0.5) / F.col("_share")).alias("priority"))
-    )
-    return sample, report
+    priority = F.when(F.col("_share") > 0, (F.col("_rank") - 0.5) / F.col("_share"))
+    marked = ranked.join(F.broadcast(limits), F.col("stratum_id") == F.col("_s")).select("image_id", "stratum_id", priority.alias("priority"), (F.col("_rank") <= F.col("_seats")).alias("drawn"))
+    return marked, report
+
+
+def draw(image_record: DataFrame, targets: DataFrame, ws: Workspace, one_in: int = 10, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(sample, report) of one image in ``one_in``, in the target's proportions.
+
+    sample: (image_id, stratum_id, priority), the images with the smallest priorities, floor
+    records first, in a random order per stratum that depends only on image_id and seed.
+    report: one row per listed stratum with available, needed, seats, shortfall and shares.
+    Null or unlisted strata get no seat. With no images both are zero rows or zero counts.
+    """
+    ranked, report = ranked_records(image_record, targets, ws, one_in, seed)
+    return ranked.where("drawn").drop("drawn"), report
 
 
 _COLUMNS = ("image_id", "fractured", "anatomy", "view")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    _, report = draw(table(spark, folder, "image_record", *_COLUMNS), table(spark, folder, "sample_target"), Workspace(spark, "p1"))
-    return report.where("available < needed").select("stratum_id")
+    """Strata that fall short: what the draw gave them and what it left of them don't reach what they need."""
+    ws = Workspace(spark, "p1")
+    ranked, report = ranked_records(table(spark, folder, "image_record", *_COLUMNS), table(spark, folder, "sample_target"), ws)
+    counts = ws.keep(ranked, "ranked").groupBy("stratum_id").agg(F.count_if("drawn").alias("got"), F.count_if(~F.col("drawn")).alias("left"))
+    short = F.coalesce(F.col("got") + F.col("left"), F.lit(0)) < F.col("needed")
+    return report.join(counts, "stratum_id", "left").where(short).select("stratum_id")
 
 
 def p1_sample(spark: SparkSession, folder: str) -> DataFrame:

@@ -201,3 +201,22 @@ def test_nothing_else_imports_the_subpackage():
         if "llm" not in path.parts:
             assert "llm" not in path.read_text()
 
+
+
+def test_p1_found_runs_the_draw(spark, monkeypatch):
+    kept = {}
+    keep = proportions.Workspace.keep
+
+    def seen(self, frame, label):
+        kept[label] = keep(self, frame, label)
+        return kept[label]
+
+    monkeypatch.setattr(proportions.Workspace, "keep", seen)
+    short = {r[0] for r in proportions.p1_found(spark, oracle.DATA).collect()}
+    ranked = kept["ranked"]
+    sample = proportions.p1_sample(spark, oracle.DATA)
+    assert sample.count() and sorted(ranked.where("drawn").drop("drawn").collect()) == sorted(sample.collect())
+    report = {r.stratum_id: r for r in proportions.p1_report(spark, oracle.DATA).collect()}
+    counts = {r["stratum_id"]: r["count"] for r in ranked.groupBy("stratum_id").count().collect()}
+    assert all(counts.get(s, 0) == r.available for s, r in report.items())
+    assert short == {s for s, r in report.items() if r.shortfall}
