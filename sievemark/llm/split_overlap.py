@@ -1,10 +1,10 @@
 """Problem 2: records of the evaluation splits that also occur, or almost, in train.
 
-The fingerprints of a record are rolling selections over its nine phash bands (see
-near_hashes): each selection takes three bands on one line of the band grid, with its
-place. All of them are kept, a winnowing window of one: with four changed bits only one of
-the twelve may be left, so a larger window would lose pairs. Shared selections at the same place are
-collinear by construction; a candidate is extended by aligning all 128 bits.
+Candidates come from the banding of near_hashes, in place of winnowed fingerprints: a
+fingerprint combines three of a record's nine phash bands, on one line of the band grid, with
+its place. There is no rolling hash, no window minimum and no seed chain: with four changed
+bits only one of the twelve lines may be left, so a window that keeps fewer would lose pairs.
+A candidate is verified over all 128 bits at once.
 """
 
 from __future__ import annotations
@@ -84,13 +84,17 @@ def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
-    """(split, source, images, overlapping, pairs): per evaluation split and source."""
+    """(split, source, images, overlapping, pairs, share, coverage): per evaluation split and source.
+
+    share is that of the source's images with a counterpart in train, coverage the mean of
+    their best agreement with it, as in ``p2_coverage``; null if there are none.
+    """
     listed, ws = _prepared(spark, folder, "p2r")
-    per_image = overlaps(listed, ws).groupBy(F.col("eval_id").alias("image_id")).agg(F.count("*").alias("pairs"))
+    per_image = overlaps(listed, ws).groupBy(F.col("eval_id").alias("image_id")).agg(F.count("*").alias("pairs"), F.max("coverage").alias("coverage"))
     splits = F.explode(F.array_compact(F.array(F.when(F.col("val"), "val"), F.when(F.col("test"), "test"))))
     return (
         listed.where("val or test").join(per_image, "image_id", "left")
-        .select("source", splits.alias("split"), "pairs")
+        .select("source", splits.alias("split"), "pairs", "coverage")
         .groupBy("split", "source")
-        .agg(F.count("*").alias("images"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+        .agg(F.count("*").alias("images"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), (F.count("pairs") / F.count("*")).alias("share"), F.avg("coverage").alias("coverage"))
     )

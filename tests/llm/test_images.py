@@ -220,3 +220,20 @@ def test_p1_found_runs_the_draw(spark, monkeypatch):
     counts = {r["stratum_id"]: r["count"] for r in ranked.groupBy("stratum_id").count().collect()}
     assert all(counts.get(s, 0) == r.available for s, r in report.items())
     assert short == {s for s, r in report.items() if r.shortfall}
+
+
+def test_p2_report_has_coverage(spark):
+    best = {r.image_id: r.coverage for r in split_overlap.p2_coverage(spark, oracle.DATA).collect()}
+    listed, _ = split_overlap._prepared(spark, oracle.DATA, "p2t")
+    rows = defaultdict(list)
+    for r in listed.where("val or test").collect():
+        for split in ("val", "test"):
+            if r[split]:
+                rows[split, r.source].append(best.get(r.image_id))
+    report = split_overlap.p2_report(spark, oracle.DATA).collect()
+    assert len(report) == len(rows) and any(r.overlapping for r in report)
+    for r in report:
+        every = rows[r.split, r.source]
+        found = [c for c in every if c is not None]
+        assert (r.images, r.overlapping) == (len(every), len(found)) and abs(r.share - len(found) / len(every)) < 1e-12
+        assert r.coverage is None if not found else abs(r.coverage - sum(found) / len(found)) < 1e-12
