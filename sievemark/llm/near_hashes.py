@@ -1,4 +1,6 @@
-"""Exact neighbour search over pairs of 64-bit hashes (phash, dhash) by tensored banding.
+"""Exact neighbour search over pairs of 64-bit hashes (phash, dhash) by triples of bit bands.
+
+This stands in for tensoring, pairs combined from smaller minhash collections; see the README.
 
 Two records are near if their phash differ in at most ``P_BITS`` bits and their dhash in
 at most ``D_BITS``. The 64 bits of phash are dealt to a 3 x 3 grid of nine bands. A table
