@@ -2,7 +2,7 @@
 
 Related images form units first: images of one study are one unit, an image without a
 study is one of its own. near_group labels link units. A spanning forest of these links is
-built by minimum-edge contraction (Boruvka) and written out; its trees are the groups that
+built by minimum-edge contraction (Boruvka); ``p3_forest`` returns it, and its trees are the groups that
 must not be torn. Groups are stratified by fractured, anatomy and size band and dealt to
 the splits along a random order, systematically by cumulated size.
 """
@@ -175,10 +175,27 @@ def torn_labels(official_split: DataFrame, labelled: DataFrame, roots: DataFrame
     return within.where("a != b").select(F.col("label").alias("near_group"))
 
 
+def image_forest(images: DataFrame, forest: DataFrame) -> DataFrame:
+    """(image_id_a, image_id_b, link): a spanning forest of the images, one edge fewer than images in each group.
+
+    link study: an image and the smallest of its unit. link near_group: the smallest images of
+    two units that ``forest`` (u, v) joins. A group without an edge is a single image.
+    """
+    heads = images.groupBy("unit").agg(F.min("image_id").alias("head"))
+    inside = images.join(heads, "unit").where("image_id != head").select(F.col("head").alias("image_id_a"), F.col("image_id").alias("image_id_b"), F.lit("study").alias("link"))
+    u, v = heads.select(F.col("unit").alias("u"), F.col("head").alias("a")), heads.select(F.col("unit").alias("v"), F.col("head").alias("b"))
+    across = forest.join(u, "u").join(v, "v").select(F.least("a", "b").alias("image_id_a"), F.greatest("a", "b").alias("image_id_b"), F.lit("near_group").alias("link"))
+    return inside.union(across)
+
+
+def _related(spark: SparkSession, folder: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    images = ws.keep(related_images(table(spark, folder, "image_record", "image_id", "study_id", "fractured", "anatomy")), "images")
+    return images, ws.keep(labelled_units(table(spark, folder, "exclusions", "image_id", "near_group"), images), "labelled")
+
+
 def _forest(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame, Workspace]:
     ws = Workspace(spark, name)
-    images = ws.keep(related_images(table(spark, folder, "image_record", "image_id", "study_id", "fractured", "anatomy")), "images")
-    labelled = ws.keep(labelled_units(table(spark, folder, "exclusions", "image_id", "near_group"), images), "labelled")
+    images, labelled = _related(spark, folder, ws)
     _, roots = spanning_forest(label_edges(labelled), ws)
     return images, labelled, roots, ws
 
@@ -193,6 +210,14 @@ def p3_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return assign(images, roots, table(spark, folder, "split_target"), ws)
 
 
+def p3_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The spanning forest behind the groups, for a caller to write and use again."""
+    ws = Workspace(spark, "p3f")
+    images, labelled = _related(spark, folder, ws)
+    forest, _ = spanning_forest(label_edges(labelled), ws)
+    return image_forest(images, ws.keep(forest, "forest"))
+
+
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """(split, fractured, anatomy, images): how the assignment is spread."""
     images, _, roots, ws = _forest(spark, folder, "p3r")

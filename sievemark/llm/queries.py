@@ -13,6 +13,7 @@ QUERIES = {
     "p2_report": split_overlap.p2_report,
     "p3_found": group_splits.p3_found,
     "p3_assignment": group_splits.p3_assignment,
+    "p3_forest": group_splits.p3_forest,
     "p3_report": group_splits.p3_report,
     "p4_found": near_images.p4_found,
     "p4_groups": near_images.p4_groups,

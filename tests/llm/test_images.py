@@ -237,3 +237,19 @@ def test_p2_report_has_coverage(spark):
         found = [c for c in every if c is not None]
         assert (r.images, r.overlapping) == (len(every), len(found)) and abs(r.share - len(found) / len(every)) < 1e-12
         assert r.coverage is None if not found else abs(r.coverage - sum(found) / len(found)) < 1e-12
+
+
+def test_p3_forest_spans_the_groups(spark):
+    edges = [(r.image_id_a, r.image_id_b) for r in group_splits.p3_forest(spark, oracle.DATA).collect()]
+    group = {r.image_id: r.group_id for r in group_splits.p3_assignment(spark, oracle.DATA).collect()}
+    parent = {x: x for x in group}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        assert group[a] == group[b] and find(a) != find(b)
+        parent[find(a)] = find(b)
+    assert len(edges) == len(group) - len(set(group.values())) > 0
