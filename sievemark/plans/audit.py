@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..functions.identity import label_key, reference_key
+from ..functions.identity import label_key, level, reference_key
 from ..operators import cleaning, hamming, validate
 from ..operators.boxes import alignment_errors
 from ..operators.ordered import numbered
@@ -165,6 +165,7 @@ def reviewed_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("near_pair_ranking", f"with {_MATCHES} select a as left_image_id, b as right_image_id from np")
 def near_pair_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct pairs alone, in no order; ``near_pair_places`` ranks them."""
     return reviewed_pairs(spark, folder).select(F.col("left").alias("left_image_id"), F.col("right").alias("right_image_id"))
 
 
@@ -195,6 +196,32 @@ def contact_sheet_all_pages(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("pair_id", "place", F.floor((F.col("place") - 1) / 10).alias("page"))
 
 
+_RANKED = f"""with {_MATCHES},
+    known as (select n.pair_id, least(l.image_id, r.image_id) as left_image_id, greatest(l.image_id, r.image_id) as right_image_id, {views.sql_level("anatomy")} as anatomy, label_conflict, phash_distance, dhash_distance, global_ssim
+        from near_pair n join keys l on l.k = {sql_key('left_image_id')} join keys r on r.k = {sql_key('right_image_id')} where l.k <> r.k),
+    nearest as (select * from (select *, row_number() over (partition by left_image_id, right_image_id order by {_REVIEW_SQL}) as rn from known) where rn = 1)
+    select left_image_id, right_image_id, pair_id, anatomy, label_conflict, phash_distance, dhash_distance, global_ssim, row_number() over (order by {_REVIEW_SQL}) as place from nearest"""
+
+
+@query("near_pair_places", _RANKED)
+def near_pair_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct pairs of ``near_pair_ranking`` with their place in review order and what was measured.
+
+    Of the rows of a pair the first in review order stands for it; nulls come last.
+    """
+    from ..sources.tables import image_keys
+
+    keys = image_keys(table(spark, folder, "image_record", "image_id"))
+    facts = ("anatomy", "label_conflict", "phash_distance", "dhash_distance", "global_ssim")
+    rows = table(spark, folder, "near_pair", "pair_id", "left_image_id", "right_image_id", *facts).withColumn("anatomy", level(F.col("anatomy")))
+    rows = rows.withColumn("l", reference_key(F.col("left_image_id"))).withColumn("r", reference_key(F.col("right_image_id"))).where("l != r").drop("left_image_id", "right_image_id")
+    known = rows.join(keys.select(F.col("image_key").alias("l"), F.col("image_id").alias("a")), "l").join(keys.select(F.col("image_key").alias("r"), F.col("image_id").alias("b")), "r")
+    bits = [F.coalesce(F.col(c), F.lit(2**31 - 1)) for c in ("phash_distance", "dhash_distance")]
+    first = F.struct(*bits, F.coalesce(-F.col("global_ssim"), F.lit(float("inf"))), F.col("pair_id"))
+    pairs = known.groupBy(F.least("a", "b").alias("left_image_id"), F.greatest("a", "b").alias("right_image_id")).agg(F.min_by(F.struct("pair_id", *facts), first).alias("s"))
+    return numbered(pairs.select("left_image_id", "right_image_id", "s.*"), Workspace(spark, "places"), review_order(), "place")
+
+
 _REACH = "both_ways as (select a, b from np union select b, a from np), reach(a, b) as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a)"
 
 

@@ -176,3 +176,16 @@ def test_every_near_pair_reaches_a_page(spark, tmp_path):
     pages = sorted(plans.QUERIES["contact_sheet_all_pages"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
     assert [r.pair_id for r in pages] == [4, 3, 2, *range(7, 13), 5, 1, 6]
     assert [r.place for r in pages] == list(range(1, 13)) and [r.page for r in pages] == [0] * 10 + [1] * 2
+
+
+def test_near_pair_places_rank_the_pairs(spark):
+    import oracle
+    from sievemark import plans
+
+    pairs = {tuple(r) for r in plans.QUERIES["near_pair_ranking"](spark, oracle.DATA).collect()}
+    rows = sorted(plans.QUERIES["near_pair_places"](spark, oracle.DATA).collect(), key=lambda r: r.place)
+    assert {(r.left_image_id, r.right_image_id) for r in rows} == pairs and len(rows) == len(pairs) > 0
+    last = lambda x: (x is None, x or 0)
+    order = [(last(r.phash_distance), last(r.dhash_distance), last(None if r.global_ssim is None else -r.global_ssim), r.pair_id) for r in rows]
+    assert order == sorted(order) and [r.place for r in rows] == list(range(1, len(rows) + 1))
+    assert any(r.phash_distance is None for r in rows) and {"anatomy", "label_conflict"} <= set(rows[0].asDict())
