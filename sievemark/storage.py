@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import atexit
 import itertools
-import os
 import shutil
 import tempfile
 import uuid
@@ -48,30 +47,31 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        self._paths: dict[int, str] = {}
         atexit.register(self.clear)
 
     def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; a local folder can still be removed
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     def keep(self, frame: DataFrame, label: str) -> DataFrame:
         path = f"{self.root}/{next(_counter):05d}-{label}"
         frame.write.parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
-        self._paths[id(back)] = path
+        back._kept_at = path
         return back
 
     def drop(self, frame: DataFrame | None) -> None:
-        path = self._paths.pop(id(frame), None) if frame is not None else None
+        """Deletes the table behind a frame that ``keep`` returned; other frames have none."""
+        path = None if frame is None else frame.__dict__.pop("_kept_at", None)
         if path:
             self._delete(path)
 
     def clear(self) -> None:
-        if self.spark.sparkContext._jsc is None or not os.path.isdir(self.root.removeprefix("file://")):
-            return
-        self._delete(self.root)
+        """Deletes what is left, on whatever file system the shared folder is."""
+        try:
+            self._delete(self.root)
+        except Exception:  # the session has ended; a local folder can still be removed
+            local = self.root.removeprefix("file:")
+            if local.startswith("/"):
+                shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
