@@ -36,7 +36,8 @@ def match_edges(near_pair: DataFrame, exclusions: DataFrame, image_record: DataF
     labelled = ws.keep(labelled, "labels")
 
     def stars(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
-        hubs = rows.groupBy(*keys).agg(F.min(node).alias("v"), F.max(node).alias("_last")).where(F.col("v") != F.col("_last")).drop("_last")
+        # written, so that adaptive execution can split the rows of a value that very many images share
+        hubs = ws.keep(rows.groupBy(*keys).agg(F.min(node).alias("v"), F.max(node).alias("_last")).where(F.col("v") != F.col("_last")).drop("_last"), "hubs")
         return rows.join(hubs, keys).where(F.col(node) != F.col("v")).select(F.col(node).alias("u"), "v")
 
     return reduce(DataFrame.union, [direct, stars(labelled, ["kind", "label"], "u"), stars(values, ["p"], "image_id")])

@@ -1,42 +1,38 @@
-"""Exact neighbour search over pairs of 64-bit hashes (phash, dhash) by triples of bit bands.
-
-This stands in for tensoring, pairs combined from smaller minhash collections; see the README.
+"""Exact neighbour search over pairs of 64-bit hashes (phash, dhash) by tensored banding.
 
 Two records are near if their phash differ in at most ``P_BITS`` bits and their dhash in
-at most ``D_BITS``. The 64 bits of phash are dealt to a 3 x 3 grid of nine bands. A table
-key combines the three bands of one line of the grid (rows, columns and the two wrapped
-diagonals: twelve lines, the affine plane of order three), so twelve keys of 21 to 22
-bits come from nine small band values. Four changed bits touch at most four bands, and
-five points of that plane always contain a whole line: two near records share at least
-one key, no pair is lost.
-
-A line of which all three band values are frequent may be a hot key (a value that many
-records share). Records on such a line are compared by dhash keys instead: dhash is dealt
-to eight bands, six changed bits leave two of them whole, so each of the 28 pairs of
-bands is a key. Frequency is counted over all records, and the set of frequent
-band values is at most ``9 * FREQUENT`` long because each holds over 1/FREQUENT of the
-records. Candidates are verified by bit counts; nothing is capped or sampled.
+at most ``D_BITS``. A record has two small collections of band values: six bands of phash
+and eight of dhash (10 to 11 and 8 bits each). Table keys are not bands but pairs of them: each of the
+fifteen pairs of phash bands is a key of 21 to 22 bits, made of six values. Four
+changed bits touch at most four of six bands, so two near records agree on at least one pair: where minhash
+would find a pair with some probability, bands lose none.
+
+A key that many records share (copies of a scan with other noise in dhash) would compare them
+all. Records under such a crowded key are tabled once more, under that key and
+each of the 28 pairs of their dhash bands: six changed bits leave two of eight bands whole. Which keys are crowded is
+counted over all records and decides only how candidates are found, not which: both ways are
+exact, and every candidate is verified by bit counts. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-P_BITS, D_BITS = 4, 6
-#: A band value is frequent if more than one record in FREQUENT has it. Bands have 7 or 8
-#: bits, so an even spread gives one in 128 or fewer.
-FREQUENT = 40
+from ..storage import Workspace
 
-GRID = 9
-LINES = [tuple(sorted(3 * ((x0 + dx * t) % 3) + (y0 + dy * t) % 3 for t in range(3))) for dx, dy, starts in ((0, 1, [(0, 0), (1, 0), (2, 0)]), (1, 0, [(0, 0), (0, 1), (0, 2)]), (1, 1, [(0, 0), (0, 1), (0, 2)]), (1, 2, [(0, 0), (0, 1), (0, 2)])) for x0, y0 in starts]
-D_BANDS = 8
+P_BITS, D_BITS = 4, 6
+P_BANDS, D_BANDS = 6, 8
+P_PAIRS, D_PAIRS = list(combinations(range(P_BANDS), 2)), list(combinations(range(D_BANDS), 2))
+#: A key held by more records is tabled again by dhash. Comparing so many costs about as much as shuffling them 28 times.
+CROWDED = 4096
+#: Crowded keys up to this number are broadcast (16 bytes each); more are joined by shuffle.
+LISTED = 100_000
 
 
-def _mask(bands: int, *chosen: int) -> int:
+def mask(bands: int, *chosen: int) -> int:
     """The bits dealt to the chosen bands, as a signed 64-bit number."""
     value = sum(1 << i for i in range(64) if i % bands in chosen)
     return value - (1 << 64) if value >= 1 << 63 else value
@@ -46,74 +42,67 @@ def near(p1: Column, d1: Column, p2: Column, d2: Column) -> Column:
     return (F.bit_count(p1.bitwiseXOR(p2)) <= P_BITS) & (F.bit_count(d1.bitwiseXOR(d2)) <= D_BITS)
 
 
-def frequent_bands(*vectors: DataFrame) -> list[list[int]]:
-    """For each band of phash its frequent values (as masked bit patterns).
+def _keys(value: Column, bands: int, pairs: list[tuple[int, int]], names: tuple[str, str]) -> Column:
+    """One row per pair of bands: which pair, and the value of the two bands."""
+    return F.inline(F.array(*[F.struct(F.lit(k).cast("int").alias(names[0]), value.bitwiseAND(F.lit(mask(bands, *pair))).alias(names[1])) for k, pair in enumerate(pairs)]))
 
-    One narrow pass over all records; at most 9 * FREQUENT values reach the driver, for
-    each of them is held by over 1/FREQUENT of the records.
-    """
-    rows = reduce(DataFrame.union, [v.select("p") for v in vectors])
-    counted = (
-        rows.select(F.posexplode(F.array(*[F.col("p").bitwiseAND(F.lit(_mask(GRID, b))) for b in range(GRID)])).alias("band", "value"))
-        .groupBy("band", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    total = rows.agg((F.count("*") / F.lit(FREQUENT)).alias("most"))
-    hot = counted.join(F.broadcast(total), F.col("n") > F.greatest(F.col("most"), F.lit(8.0)), "inner")
-    found: list[list[int]] = [[] for _ in range(GRID)]
-    for row in hot.select("band", "value").toLocalIterator():
-        found[row["band"]].append(row["value"])
-    return found
-
-
-def _keyed(vectors: DataFrame, hot: list[list[int]]) -> DataFrame:
-    """(k, v, p, d): every record under its keys; k names the kind of key, v is its value."""
-    p, d = F.col("p"), F.col("d")
-    # A three-band line is hot only where all three of its values are frequent.
-    frequent = [p.bitwiseAND(F.lit(_mask(GRID, b))).isin(hot[b]) if hot[b] else None for b in range(GRID)]
-
-    def line_hot(line: tuple[int, ...]) -> Column | None:
-        parts = [frequent[b] for b in line]
-        return None if any(x is None for x in parts) else parts[0] & parts[1] & parts[2]
-
-    hots = [line_hot(line) for line in LINES]
-    keys = [
-        F.struct(F.lit(k).cast("int").alias("k"), p.bitwiseAND(F.lit(_mask(GRID, *line))).alias("v")) if hot_here is None
-        # key -1 never joins: the hot line is left to the dhash keys below
-        else F.struct(F.when(hot_here, -1).otherwise(k).cast("int").alias("k"), p.bitwiseAND(F.lit(_mask(GRID, *line))).alias("v"))
-        for k, (line, hot_here) in enumerate(zip(LINES, hots, strict=True))
-    ]
-    keyed = vectors.select("p", "d", F.inline(F.array(*keys)))
-    live = [h for h in hots if h is not None]
-    if not live:
-        return keyed
-    second = [F.struct(F.lit(len(LINES) + k).cast("int").alias("k"), d.bitwiseAND(F.lit(_mask(D_BANDS, *pair))).alias("v")) for k, pair in enumerate(combinations(range(D_BANDS), 2))]
-    crowded = vectors.where(reduce(lambda a, b: a | b, live)).select("p", "d", F.inline(F.array(*second)))
-    return keyed.where("k >= 0").union(crowded)
-
-
-def _first_line(x: Column) -> Column:
-    """The first line on which two phash agree, given their difference x."""
+
+def _first_shared(difference: Column, bands: int, pairs: list[tuple[int, int]]) -> Column:
+    """The first pair of bands on which two values agree, given their difference."""
     chain = F.lit(-1)
-    for k in reversed(range(len(LINES))):
-        chain = F.when(x.bitwiseAND(F.lit(_mask(GRID, *LINES[k]))) == 0, k).otherwise(chain)
+    for k in reversed(range(len(pairs))):
+        chain = F.when(difference.bitwiseAND(F.lit(mask(bands, *pairs[k]))) == 0, k).otherwise(chain)
     return chain
 
 
-def near_vectors(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(p1, d1, p2, d2): all near pairs of different hash pairs, each once.
+def crowded_keys(vectors: DataFrame, ws: Workspace, crowded: int = CROWDED) -> DataFrame | None:
+    """(k, v): the keys that more than ``crowded`` records hold; None if there are none.
 
-    ``left`` and ``right`` have distinct, non-null (p, d). Without ``right`` the pairs are
-    those within ``left``, with (p1, d1) < (p2, d2); with it, all near pairs of a left and a
-    right vector, equal ones included. Cost: 12 rows a record are shuffled on a 21-bit key.
+    A key holds no more records than either of its bands. Bands have 6 x 2048 values at most whatever
+    the data, so they are counted first, map-side; only where two bands of a record both hold enough
+    records are its keys counted.
+    """
+    p = F.col("p")
+    bands = F.array(*[F.struct(F.lit(b).alias("b"), p.bitwiseAND(F.lit(mask(P_BANDS, b))).alias("x")) for b in range(P_BANDS)])
+    full = vectors.select(F.inline(bands)).groupBy("b", "x").count().where(F.col("count") > crowded).select("b", "x")
+    values: list[list[int]] = [[] for _ in range(P_BANDS)]
+    for row in full.toLocalIterator():
+        values[row["b"]].append(row["x"])
+    if sum(map(bool, values)) < 2:
+        return None
+    keyed = vectors.select("p", _keys(p, P_BANDS, P_PAIRS, ("k", "v")))
+    if sum(map(len, values)) <= 256:  # otherwise most records have such a pair, and a test would not pay
+        held = [p.bitwiseAND(F.lit(mask(P_BANDS, b))).isin(values[b]) if values[b] else F.lit(False) for b in range(P_BANDS)]
+        flags = vectors.select("p", F.array(*[held[a] & held[b] for a, b in P_PAIRS]).alias("open"))
+        keyed = flags.select("open", _keys(p, P_BANDS, P_PAIRS, ("k", "v"))).where(F.get("open", F.col("k")))
+    found = ws.keep(keyed.groupBy("k", "v").count().where(F.col("count") > crowded).select("k", "v"), "crowded")
+    return None if found.isEmpty() else found
+
+
+def near_vectors(vectors: DataFrame, ws: Workspace, crowded: int = CROWDED) -> DataFrame:
+    """(p1, d1, p2, d2), (p1, d1) < (p2, d2): all near pairs of different hash pairs, each once.
+
+    ``vectors``: distinct, non-null (p, d), as a table that can be read again. A pair is emitted under the first key that it shares,
+    so no distinct is needed. Cost: 15 rows a record are shuffled on a 21-bit key.
     """
-    hot = frequent_bands(left, *([right] if right is not None else []))
-    a = _keyed(left, hot).select("k", "v", F.col("p").alias("p1"), F.col("d").alias("d1"))
-    b = _keyed(right if right is not None else left, hot).select("k", "v", F.col("p").alias("p2"), F.col("d").alias("d2"))
     p1, d1, p2, d2 = (F.col(c) for c in ("p1", "d1", "p2", "d2"))
-    pairs = a.join(b, ["k", "v"]).where(near(p1, d1, p2, d2))
-    if right is None:
-        pairs = pairs.where((p1 < p2) | ((p1 == p2) & (d1 < d2)))
-    once = pairs.where((F.col("k") >= len(LINES)) | (F.col("k") == _first_line(p1.bitwiseXOR(p2)))).select("p1", "d1", "p2", "d2")
-    # With frequent bands a pair may come from several dhash keys, or its first line may be hot.
-    return once if not any(hot) else pairs.select("p1", "d1", "p2", "d2").distinct()
+    ordered = (p1 < p2) | ((p1 == p2) & (d1 < d2))
+    first = F.col("k") == _first_shared(p1.bitwiseXOR(p2), P_BANDS, P_PAIRS)
+    keyed = vectors.select("p", "d", _keys(F.col("p"), P_BANDS, P_PAIRS, ("k", "v")))
+    hot = crowded_keys(vectors, ws, crowded)
+    loose = keyed
+    if hot is not None:
+        marks = hot.withColumn("hot", F.lit(True))
+        marked = keyed.join(F.broadcast(marks) if hot.count() <= LISTED else marks, ["k", "v"], "left")
+        loose = marked.where("hot is null").drop("hot")
+
+    def sides(rows: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = rows.select(*keys, F.col("p").alias("p1"), F.col("d").alias("d1")), rows.select(*keys, F.col("p").alias("p2"), F.col("d").alias("d2"))
+        return a.join(b, keys).where(ordered & near(p1, d1, p2, d2) & first)
+
+    out = sides(loose, ["k", "v"]).select("p1", "d1", "p2", "d2")
+    if hot is None:
+        return out
+    again = marked.where("hot").select("k", "v", "p", "d", _keys(F.col("d"), D_BANDS, D_PAIRS, ("k2", "v2")))
+    second = F.col("k2") == _first_shared(d1.bitwiseXOR(d2), D_BANDS, D_PAIRS)
+    return out.union(sides(again, ["k", "v", "k2", "v2"]).where(second).select("p1", "d1", "p2", "d2"))

@@ -27,7 +27,7 @@ def near_members(images: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame
     """
     hashed = images.where("p is not null and d is not null")
     vectors = ws.keep(hashed.groupBy("p", "d").agg(F.count("*").alias("n")), "vectors")
-    apart = ws.keep(near_vectors(vectors.select("p", "d")), "near")
+    apart = ws.keep(near_vectors(vectors.select("p", "d"), ws), "near")
     same = vectors.where("n > 1").select(F.col("p").alias("p1"), F.col("d").alias("d1"), F.col("p").alias("p2"), F.col("d").alias("d2"))
     pairs = apart.union(same)
     touched = pairs.select(F.inline(F.array(F.struct(F.col("p1").alias("p"), F.col("d1").alias("d")), F.struct(F.col("p2").alias("p"), F.col("d2").alias("d"))))).distinct()

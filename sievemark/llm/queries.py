@@ -50,7 +50,48 @@ _SPLIT = "case when lower(trim(split)) in ('train', 'training') then 'train' whe
 _IMAGES = f"images as (select distinct image_id, {_key('image_id')} as k, {_number('phash')} as p, {_number('dhash')} as d, {_digest('pixel_md5')} as m from image_record where image_id is not null)"
 _NEAR = "bit_count(xor(a.p, b.p)::bit) <= 4 and bit_count(xor(a.d, b.d)::bit) <= 6"
 
+_LISTED = f"""{_IMAGES},
+        src as (select image_id, max({_level("source")}) as source from image_record where image_id is not null group by 1),
+        listed as (select distinct i.*, s.split from images i join (select {_key("image_id")} as k, {_SPLIT} as split from official_split) s using (k) where s.split is not null),
+        e as (select distinct image_id, p, d, m from listed where split in ('val', 'test')),
+        t as (select distinct image_id, p, d, m from listed where split = 'train'),
+        met as (select a.image_id, b.image_id as other, case when a.image_id = b.image_id or a.m = b.m then 1.0 else 1 - (bit_count(xor(a.p, b.p)::bit) + bit_count(xor(a.d, b.d)::bit)) / 128.0 end::double as coverage
+            from e a, t b where a.image_id = b.image_id or a.m = b.m or ({_NEAR})),
+        found as (select image_id, count(distinct other) as counterparts, max(coverage) as coverage from met group by 1)"""
+_GROUPS = """both_ways as (select a, b from e union select b, a from e),
+        reach(a, b) as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a)"""
+_P6 = f"""
+        with recursive ids as (select {_key("image_id")} as k, min(image_id) as image_id from image_record where image_id is not null group by 1),
+        lab as (
+            select 'x' || upper(trim(exact_group)) as l, {_key("image_id")} as k from exclusions where trim(exact_group) <> ''
+            union select 'n' || upper(trim(near_group)), {_key("image_id")} from exclusions where trim(near_group) <> ''
+            union select 'p' || ({_number("phash")}), {_key("image_id")} from image_record where image_id is not null and ({_number("phash")}) is not null),
+        star as (select image_id as a, min(image_id) over (partition by l) as b from lab join ids using (k)),
+        e as (
+            select a, b from star where a <> b
+            union select l.image_id, r.image_id from near_pair n join ids l on l.k = {_key("left_image_id")} join ids r on r.k = {_key("right_image_id")} where l.k <> r.k),
+        {_GROUPS}, grouped as (select a as image_id, least(a, min(b)) as group_id from reach group by a)"""
+
 SQL = {
+    "p1_report": f"""
+        with n as (select count(distinct image_id) // 10 as n from image_record),
+        have as (select fractured, {_level("anatomy")} as anatomy, {_level("view")} as view, count(distinct image_id) as c from image_record group by 1, 2, 3),
+        goal as (select stratum_id, coalesce(c, 0) as available, greatest(min_rows, (n * target_ppm + 999999) // 1000000)::bigint as needed, target_ppm, min_rows
+            from sample_target t left join have h on h.fractured = t.fractured and h.anatomy = t.anatomy and h.view = t.view, n),
+        ranked as (select stratum_id, unnest(range(1, available + 1)) as r, target_ppm, min_rows from goal),
+        placed as (select stratum_id, row_number() over (order by r > min_rows, (r - 0.5) / target_ppm, stratum_id) as place from ranked where r <= min_rows or target_ppm > 0),
+        got as (select stratum_id, count(*) as seats from placed, n, (select sum(least(available, min_rows)) as kept from goal) where place <= greatest(n, kept) group by 1)
+        select stratum_id, available, needed, coalesce(seats, 0) as seats, greatest(0, needed - available)::bigint as shortfall, (target_ppm / 1e6)::double as target_share, (coalesce(seats, 0) / sum(seats) over ())::double as actual_share from goal left join got using (stratum_id)""",
+    "p2_coverage": f"with {_LISTED} select * from found",
+    "p2_report": f"""
+        with {_LISTED}
+        select split, source, count(*) as images, count(counterparts) as overlapping, coalesce(sum(counterparts), 0)::bigint as pairs, count(counterparts) / count(*) as share, avg(coverage) as coverage
+        from (select distinct image_id, split from listed where split <> 'train') join src using (image_id) left join found using (image_id) group by 1, 2""",
+    "p4_groups": f"""
+        with recursive {_IMAGES}, e as (select a.image_id as a, b.image_id as b from images a join images b on a.image_id < b.image_id where {_NEAR} and (a.m is null or b.m is null or a.m <> b.m)),
+        {_GROUPS}
+        select image_id, group_id, links from (select a as image_id, least(a, min(b)) as group_id from reach group by a) join (select a as image_id, count(*) as links from both_ways group by 1) using (image_id)""",
+    "p6_group_sizes": f"{_P6} select size, count(*) as groups from (select count(*) as size from grouped group by group_id) group by 1",
     "p1_found": f"""
         with n as (select count(distinct image_id) // 10 as n from image_record),
         have as (select fractured, {_level("anatomy")} as anatomy, {_level("view")} as view, count(distinct image_id) as c from image_record group by 1, 2, 3)
@@ -72,17 +113,5 @@ SQL = {
         with {_IMAGES}
         select a.image_id as image_id_a, b.image_id as image_id_b from images a join images b on a.image_id < b.image_id
         where {_NEAR} and (a.m is null or b.m is null or a.m <> b.m)""",
-    "p6_found": f"""
-        with recursive ids as (select {_key("image_id")} as k, min(image_id) as image_id from image_record where image_id is not null group by 1),
-        lab as (
-            select 'x' || upper(trim(exact_group)) as l, {_key("image_id")} as k from exclusions where trim(exact_group) <> ''
-            union select 'n' || upper(trim(near_group)), {_key("image_id")} from exclusions where trim(near_group) <> ''
-            union select 'p' || ({_number("phash")}), {_key("image_id")} from image_record where image_id is not null and ({_number("phash")}) is not null),
-        star as (select image_id as a, min(image_id) over (partition by l) as b from lab join ids using (k)),
-        e as (
-            select a, b from star where a <> b
-            union select l.image_id, r.image_id from near_pair n join ids l on l.k = {_key("left_image_id")} join ids r on r.k = {_key("right_image_id")} where l.k <> r.k),
-        both_ways as (select a, b from e union select b, a from e),
-        reach(a, b) as (select a, b from both_ways union select r.a, w.b from reach r join both_ways w on r.b = w.a)
-        select a as image_id, least(a, min(b)) as group_id from reach group by a""",
+    "p6_found": f"{_P6} select * from grouped",
 }

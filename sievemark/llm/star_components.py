@@ -8,31 +8,29 @@ from pyspark.sql import functions as F
 from ..storage import Workspace
 
 
-def _lowest(directed: DataFrame) -> DataFrame:
-    """(a, b, m): every directed edge with the smallest node among a and its neighbours b.
+def _lowest(directed: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """((a, b, m), table): every directed edge with the smallest node among a and its neighbours b.
 
     The minimum is combined before the shuffle, so a node with a third of all edges costs
-    one row per task; the join back reuses the exchange and is split where it is skewed.
+    one row per task. It is written before the join back: then both inputs of the join are plain
+    exchanges, and adaptive execution splits the partition of such a node.
     """
-    least = directed.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return directed.join(least, "a")
+    least = ws.keep(directed.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    return directed.join(least, "a"), least
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are linked to the smallest node around it."""
+def large_star(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Every node's larger neighbours are linked to the smallest node around it; and the table of minima read."""
     directed = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
-    return _lowest(directed).where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+    starred, least = _lowest(directed, ws)
+    return starred.where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours are linked to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
-    starred = _lowest(down)
-    return (
-        starred.where("b != m").select(F.col("b").alias("u"), F.col("m").alias("v"))
-        .union(starred.select(F.col("a").alias("u"), F.col("m").alias("v")))
-        .distinct()
-    )
+def small_star(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Every node and its smaller neighbours are linked to the smallest of them; and the table of minima read."""
+    starred, least = _lowest(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")), ws)
+    links = F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))
+    return starred.select(F.inline(links)).where("u != v").distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -52,10 +50,12 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     current = ws.keep(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(current)
     while True:
-        grown = ws.keep(large_star(current), "large-star")
-        ws.drop(current)
-        current = ws.keep(small_star(grown), "small-star")
-        ws.drop(grown)
+        for star in (large_star, small_star):
+            rewritten, least = star(current, ws)
+            after_star = ws.keep(rewritten, star.__name__)
+            ws.drop(current)
+            ws.drop(least)
+            current = after_star
         after = _state(current)
         if after == before:
             break

@@ -2,12 +2,13 @@
 
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from sievemark.llm import consolidate, group_splits, near_hashes, near_images, proportions, queries, split_overlap, star_components
+from sievemark.llm import consolidate, group_splits, near_hashes, near_images, proportions, queries, split_overlap, star_components, winnowing
 
 IMAGES = "image_id string, p bigint, d bigint, hi bigint, lo bigint"
 
@@ -29,11 +30,74 @@ def test_query(spark, name):
         assert frame.columns and frame.count() >= 0
 
 
-def test_five_points_hold_a_line():
-    from itertools import combinations
-
-    assert len(near_hashes.LINES) == 12 and len(set(near_hashes.LINES)) == 12
-    assert all(any(set(line) <= set(c) for line in near_hashes.LINES) for c in combinations(range(9), 5))
+def test_changed_bits_leave_a_key_whole():
+    assert all(any(not set(pair) & set(hit) for pair in near_hashes.P_PAIRS) for hit in combinations(range(near_hashes.P_BANDS), near_hashes.P_BITS))
+    assert all(any(not set(pair) & set(hit) for pair in near_hashes.D_PAIRS) for hit in combinations(range(near_hashes.D_BANDS), near_hashes.D_BITS))
+    assert winnowing.PHASH.lossless(4) and not winnowing.PHASH.lossless(5) and winnowing.DHASH.lossless(6) and not winnowing.DHASH.lossless(7)
+
+
+def test_fingerprints_are_window_minima(spark):
+    rng = random.Random(5)
+    values = [rng.getrandbits(64) for _ in range(300)] + [0, (1 << 64) - 1, 1]
+    flips = [flipped(rng, v, rng.randrange(5)) for v in values]
+    frame = spark.createDataFrame([(i, signed(a), signed(b)) for i, (a, b) in enumerate(zip(values, flips, strict=True))], "i int, a bigint, b bigint")
+    rows = frame.select("i", winnowing.PHASH.fingerprints(F.col("a")).alias("a"), winnowing.PHASH.fingerprints(F.col("b")).alias("b")).collect()
+    for r in rows:
+        turned = [(values[r.i] >> k | values[r.i] << (64 - k)) & 0x1FFF for k in range(64)]
+        ranks = [(g * 5419 + 8191 & 0x1FFF) * 64 + k for k, g in enumerate(turned)]
+        assert set(r.a) == {min(ranks[(k + j) % 64] for j in range(3)) for k in range(64)}
+        assert set(r.a) & set(r.b)  # up to four changed bits always leave a common one
+
+
+@pytest.mark.parametrize("crowded", [1, 6, 4096])
+def test_near_vectors_and_chains_however_crowded(spark, ws, crowded):
+    """A third of the vectors share one phash; small limits send most keys the second way."""
+    rng = random.Random(crowded)
+    bases = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(9)]
+    vectors = sorted({(bases[0][0], flipped(rng, bases[0][1], rng.randrange(9))) if k % 3 == 0 else tuple(flipped(rng, x, rng.randrange(6)) for x in rng.choice(bases)) for k in range(240)})
+    frame = ws.keep(spark.createDataFrame([(signed(p), signed(d)) for p, d in vectors], "p bigint, d bigint"), "vectors")
+    found = near_hashes.near_vectors(frame, ws, crowded).collect()
+    close = {(a, b) for a in vectors for b in vectors if (a[0] ^ b[0]).bit_count() <= 4 and (a[1] ^ b[1]).bit_count() <= 6}
+    lift = lambda r: ((r.p1 % 2**64, r.d1 % 2**64), (r.p2 % 2**64, r.d2 % 2**64))
+    assert len(found) == len({frozenset(lift(r)) for r in found}) and {frozenset(lift(r)) for r in found} == {frozenset(x) for x in close if x[0] != x[1]}
+    left, right = frame.where("p % 2 = 0"), frame.where("p % 3 != 0")
+    chained = winnowing.chained_pairs(left, right, ws, crowded).collect()
+    want = {x for x in close if signed(x[0][0]) % 2 == 0 and signed(x[1][0]) % 3 != 0}
+    assert len(chained) == len(want) and {lift(r) for r in chained} == want
+    assert all(1 <= r.seeds <= 64 and r.agree == 128 - (r.p1 % 2**64 ^ r.p2 % 2**64).bit_count() - (r.d1 % 2**64 ^ r.d2 % 2**64).bit_count() for r in chained)
+
+
+SKEW = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2.0", "spark.sql.shuffle.partitions": "12"}
+
+
+@pytest.fixture
+def splits_skew(spark):
+    """Runs a frame under small thresholds and tells whether the plan split a skewed join."""
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+
+    def split(frame):
+        frame.collect()
+        return "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+
+    yield split
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_joins_on_a_hot_key_are_split(spark, ws, splits_skew):
+    """A third of all rows share one key: adaptive execution must split their partition."""
+    n = 30000
+    edges = ws.keep(spark.range(0, n, 1, 16).select(F.concat(F.lit("x"), F.col("id")).alias("u"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("w"), F.col("id") % 5000)).alias("v")), "edges")
+    assert splits_skew(star_components.large_star(edges, ws)[0])
+    above = ws.keep(edges.select("u", F.when(F.col("v") == "a", "z").otherwise(F.col("v")).alias("v")), "edges")  # small stars go by the greater end
+    assert splits_skew(star_components.small_star(above, ws)[0])
+    record = ws.keep(spark.range(0, n, 1, 16).select(F.concat(F.lit("x"), F.col("id")).alias("image_id"), F.when(F.col("id") % 3 == 0, "ff").otherwise(F.hex(F.col("id") % 5000 + 4096)).alias("phash")), "record")
+    none = spark.createDataFrame([], "left_image_id string, right_image_id string"), spark.createDataFrame([], "image_id string, exact_group string, near_group string")
+    assert splits_skew(consolidate.match_edges(*none, record, ws))
+    labelled = ws.keep(spark.range(0, n, 1, 16).select(F.when(F.col("id") % 3 == 0, "L").otherwise((F.col("id") % 5000).cast("string")).alias("label"), F.col("id").cast("string").alias("image_key"), F.concat(F.lit("u"), F.col("id")).alias("unit")), "labelled")
+    assert splits_skew(group_splits.label_edges(labelled, ws))
 
 
 def brute(rows):
@@ -55,7 +119,6 @@ def test_near_pairs(spark, ws, hot):
         rows.append((f"i{k:04d}", rng.choice([p] * 20 + [None]), rng.choice([d] * 20 + [None]), rng.choice([None, k, rng.randrange(5)])))
     rows += [(f"{i}x", p, d, m) for i, p, d, m in rows[:40]]
     frame = spark.createDataFrame([(i, None if p is None else signed(p), None if d is None else signed(d), m, m) for i, p, d, m in rows], IMAGES)
-    assert any(near_hashes.frequent_bands(frame.where("p is not null").select("p"))) or not hot
     got = sorted((r.image_id_a, r.image_id_b) for r in near_images.near_pairs(frame, ws).collect())
     want = brute(rows)
     assert got == want and want
@@ -121,7 +184,7 @@ def test_splits_keep_groups_and_shares(spark, ws):
     images = ws.keep(group_splits.related_images(spark.createDataFrame(rows + rows[:50], RECORD)), "images")
     out = spark.createDataFrame([(f"i{i:05d} ", f"n{i % 40}") for i in range(0, 4000, 13)] + [("I00001", None), (None, "n1"), ("gone", "n1")], "image_id string, near_group string")
     labelled = group_splits.labelled_units(out, images)
-    _, roots = group_splits.spanning_forest(group_splits.label_edges(labelled), ws)
+    _, roots = group_splits.spanning_forest(group_splits.label_edges(labelled, ws), ws)
     targets = spark.createDataFrame([("train", 0.7), ("validation", 0.1), ("test", 0.2)], "split string, share double")
     placed = {r.image_id: r for r in group_splits.assign(images, roots, targets, ws).collect()}
     assert len(placed) == 4000
@@ -142,8 +205,8 @@ def test_torn_labels(spark, ws):
     out = spark.createDataFrame([("A", "n1"), ("b ", "N1 "), ("c", "n2"), ("d", "n2"), ("e", "n3"), ("f", "n3"), ("f", " ")], "image_id string, near_group string")
     listing = spark.createDataFrame([("a", "Train"), ("B", "valid"), ("c", "train"), ("d", "train"), ("e", "test"), ("f", None), ("zz", "val")], "image_id string, split string")
     labelled = group_splits.labelled_units(out, images)
-    _, roots = group_splits.spanning_forest(group_splits.label_edges(labelled), ws)
-    assert [r.near_group for r in group_splits.torn_labels(listing, labelled, roots).collect()] == ["N1"]
+    _, roots = group_splits.spanning_forest(group_splits.label_edges(labelled, ws), ws)
+    assert [r.near_group for r in group_splits.torn_labels(listing, labelled, roots, ws).collect()] == ["N1"]
 
 
 def test_seats_equal_a_global_sort():
@@ -181,7 +244,24 @@ def test_overlaps(spark, ws):
     listed = split_overlap.listed_images(record, listing)
     got = {(r.eval_id, r.train_id): r.coverage for r in split_overlap.overlaps(listed, ws).collect()}
     assert set(got) == {("B", "A"), ("C", "A"), ("D", "D")} and got["C", "A"] == 1 and got["B", "A"] == 1 - 1 / 128
-    assert split_overlap.overlaps(listed.limit(0), ws).count() == 0
+    assert split_overlap.overlaps(listed.limit(0), ws).count() == 0 and split_overlap.counterparts(listed.limit(0), ws).count() == 0
+
+
+def test_counterparts_count_what_overlaps_lists(spark, ws):
+    rng = random.Random(12)
+    bases = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(5)]
+    rows = []
+    for k in range(220):
+        p, d = bases[0] if k % 3 == 0 else (flipped(rng, x, rng.randrange(4)) for x in rng.choice(bases))
+        train, val, test = (rng.random() < 0.5 for _ in range(3))
+        m = rng.choice([None, rng.randrange(9)])
+        rows.append((f"i{k:03d}", "s", rng.choice([signed(p)] * 6 + [None]), rng.choice([signed(d)] * 6 + [None]), m, m, train, val, test))
+    listed = ws.keep(spark.createDataFrame(rows, "image_id string, source string, p bigint, d bigint, hi bigint, lo bigint, train boolean, val boolean, test boolean"), "listed")
+    want = defaultdict(list)
+    for r in split_overlap.overlaps(listed, ws).collect():
+        want[r.eval_id].append(r.coverage)
+    got = {r.image_id: (r.counterparts, r.coverage) for r in split_overlap.counterparts(listed, ws).collect()}
+    assert got == {i: (len(c), max(c)) for i, c in want.items()} and got
 
 
 def test_consolidation(spark, ws):
