@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def parts_for(spark: SparkSession, rows: int, row_bytes: int) -> int:
+    """Tasks for so many rows of a shuffle, so that each reads about what the session calls a good partition."""
+    said = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    good = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said)
+    return max(1, min(200_000, -(-rows * row_bytes // max(1 << 20, good))))
+
+
 class Workspace:
     """Tables of one operator run, written to the shared folder.
 
