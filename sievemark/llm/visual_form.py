@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,39 +30,61 @@ IGNORABLE = [
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
     (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 ]
-# Letters that are drawn like a Latin letter, and hyphens drawn like the ASCII one.
+# Letters and marks that are drawn like a Latin letter, digit or ASCII mark.
 LOOK_ALIKE = (
     # Cyrillic
     ("асԁеһіјӏорԛѕуԝхүѵ", "acdehijlopqsywxyv"),
     ("АВСЕНІЈКМОРЅТУХԚԜҮӀ", "ABCEHIJKMOPSTYXQWYI"),
     # Greek
-    ("οϳν", "ojv"),
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
+    ("αγικοϳνρυϲ", "ayikojvpuc"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),
     # Armenian
-    ("հոսօցզ", "hnuogq"),
+    ("հոսօցզգք", "hnuogqqp"),
     ("ՍՕԼ", "UOL"),
+    # Coptic
+    ("ⲟⲣⲥ", "opc"),
+    ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "BHIKMNOPCTYX"),
+    # Lisu
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    # Cherokee
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎩᏃᏀᏒᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYZGRVSLCPKB"),
     # Latin
     ("ɡɑ", "ga"),
-    # hyphens
-    ("‐‑", "--"),
+    # hyphens and dashes of a hyphen's height, apostrophes, slashes, colon
+    ("‐‑‒–−", "-----"),
+    ("’ʼ", "''"),
+    ("⁄∕", "//"),
+    ("∶", ":"),
 )
-# Compatibility kinds that change width, spacing or ligature but not the look.
-KINDS = ("<wide>", "<narrow>", "<compat>", "<noBreak>")
+# Letters whose small capital is drawn like the small letter.
+SMALL_CAPITALS = "COSUVWZ"
+# Compatibility letters that are drawn otherwise than what they decompose to (long s, Greek symbols, a with a half ring).
+DRAWN_OTHERWISE = frozenset("ſϐϑϒϕϖϰϱϲϴϵϹẚ")
+# Compatibility kinds that change width, style, spacing or ligature but not what is read.
+KINDS = ("<wide>", "<narrow>", "<small>", "<compat>", "<noBreak>", "<font>")
 BREAKS = (0x85, 0x2028, 0x2029, 0x0B, 0x0C)
+#: Bytes of text worked on at a time; a longer text is taken whole.
+SLICE = 4 << 20
 
 
 def _twins() -> dict[int, int]:
-    return {ord(a): ord(b) for odd, plain in LOOK_ALIKE for a, b in zip(odd, plain, strict=True)}
+    small = {ord(unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {x}")): ord(x.lower()) for x in SMALL_CAPITALS if x != "S"} | {0xA731: ord("s")}
+    return small | {ord(a): ord(b) for odd, plain in LOOK_ALIKE for a, b in zip(odd, plain, strict=True)}
 
 
 class Tables:
     """Replacements of code points, filled as code points are met; they depend on nothing else."""
 
+    #: Bits of ``kind``: the code point is replaced; it may join what stands before it.
+    REPLACED, JOINS = 1, 2
+
     def __init__(self) -> None:
         self.known = np.zeros(SIZE, bool)
-        self.length = np.zeros(SIZE, np.int64)
-        self.start = np.zeros(SIZE, np.int64)
+        self.kind = np.zeros(SIZE, np.uint8)
         self.mark = np.zeros(SIZE, np.uint8)
+        # two replacements of each code point: taken apart, and composed as far as it goes by itself
+        self.length = np.zeros((2, SIZE), np.uint8)
+        self.start = np.zeros((2, SIZE), np.int32)
         self.pool = np.zeros(0, np.uint32)
         self.twins = _twins()
         self.ignored = np.zeros(SIZE, bool)
@@ -74,6 +97,7 @@ class Tables:
                 pairs[int(parts[0], 16) << 21 | int(parts[1], 16)] = c
         self.pairs = np.array(sorted(pairs), np.int64)
         self.composed = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
+        self.seconds = {k & 0x1FFFFF for k in pairs} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
 
     def _replacement(self, c: int) -> list[int]:
         if self.ignored[c]:
@@ -84,10 +108,12 @@ class Tables:
             return [NEWLINE]
         if c == 9 or unicodedata.category(chr(c)) == "Zs":
             return [SPACE]
+        if c in self.twins:
+            return [self.twins[c]]
         parts = unicodedata.decomposition(chr(c)).split()
-        if parts and parts[0] in KINDS or parts and parts[0][0] != "<":
+        if parts and (parts[0] in KINDS or parts[0][0] != "<") and chr(c) not in DRAWN_OTHERWISE:
             return [x for p in parts if p[0] != "<" for x in self._replacement(int(p, 16))]
-        return [self.twins.get(c, c)]
+        return [c]
 
     def learn(self, points: np.ndarray) -> None:
         seen = np.zeros(SIZE, bool)
@@ -95,16 +121,28 @@ class Tables:
         new = np.flatnonzero(seen & ~self.known)
         if not len(new):
             return
+        apart = [self._replacement(int(c)) for c in new]
+        whole = [[ord(x) for x in unicodedata.normalize("NFC", "".join(map(chr, a)))] if not any(0xD800 <= x < 0xE000 for x in a) else a for a in apart]
+        for which, added in enumerate((apart, whole)):
+            lengths = np.array([len(a) for a in added], np.int64)
+            self.length[which, new], self.start[which, new] = lengths, len(self.pool) + np.cumsum(lengths) - lengths
+            self.pool = np.concatenate([self.pool, np.array([x for a in added for x in a], np.uint32)])
         # The marks of a replacement must be known too, to be ordered.
-        added = [self._replacement(int(c)) for c in new]
-        lengths = np.array([len(a) for a in added], np.int64)
-        self.length[new], self.start[new] = lengths, len(self.pool) + np.cumsum(lengths) - lengths
-        flat = np.array([x for a in added for x in a], np.uint32)
-        self.pool = np.concatenate([self.pool, flat])
-        for x in np.unique(flat):
-            self.mark[x] = unicodedata.combining(chr(int(x)))
+        for x in {x for a in (*apart, *whole) for x in a}:
+            self.mark[x] = unicodedata.combining(chr(x))
+        for c, a, w in zip(new.tolist(), apart, whole, strict=True):
+            joins = bool(a) and any(self.mark[x] or x in self.seconds for x in (a[0], w[0]))
+            self.kind[c] = self.REPLACED * (w != [c] or c == RETURN) | self.JOINS * joins
         self.known[new] = True
 
+    def replaced(self, points: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """(code points of the replacements, number of them for each given code point)"""
+        counts = self.length[which, points].astype(np.int64)
+        # place of each replacement in the pool: its start, plus how far this character is into it
+        begin = np.cumsum(counts) - counts
+        at = np.repeat(self.start[which, points] - begin, counts) + np.arange(int(counts.sum()))
+        return self.pool[at], counts
+
     def compose(self, base: np.ndarray, after: np.ndarray) -> np.ndarray:
         """The composed code point of each pair, 0 where there is none."""
         base, after = base.astype(np.int64), after.astype(np.int64)
@@ -209,31 +247,67 @@ def _tidy_spaces(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nd
     return points[keep], row[keep]
 
 
-def visual_forms(texts: pa.Array, tables: Tables) -> pa.Array:
-    """The common form of each text of a batch; null gives an empty text.
+def _untidy(points: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which spaces stand next to another, at a line's end or at its start."""
+    space = points == SPACE
+    edge = np.ones(len(points) + 1, bool)  # between characters: is it between two rows
+    edge[1:-1] = row[1:] != row[:-1]
+    gap = space | (points == NEWLINE)
+    after, before = edge[1:].copy(), edge[:-1].copy()
+    after[:-1] |= gap[1:]
+    before[1:] |= points[:-1] == NEWLINE
+    return space & (after | before)
 
-    Texts have the same form exactly if they show the same up to the width of characters and
-    spaces: full and half width, composed and combining accents, ligatures, invisible characters,
-    kinds of spaces and hyphens, and letters of other scripts drawn like Latin ones. Case,
-    accents, digits and line breaks are kept. Very long texts take memory in
-    proportion to the batch only.
-    """
+
+def _formed(texts: pa.Array, tables: Tables) -> pa.Array:
+    """Forms of a slice: most texts stay as they are; of the others only those with marks to compose are taken apart."""
     n = len(texts)
     points, row = _points(texts)
     tables.learn(points)
-    counts = tables.length[points]
-    row = np.repeat(row, counts)
-    # place of each replacement in the pool: its start, plus how far this character is into it
-    into = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    points = tables.pool[np.repeat(tables.start[points], counts) + into].astype(np.int64)
-    points, row = _tidy_spaces(points, row)
-    rank = tables.mark[points].astype(np.int64)
-    points, rank = _order_marks(points, row, rank)
-    points, row = _compose(points, row, rank, tables)
-    return _strings(points.astype(np.uint32), row, n)
+    kind = tables.kind[points]
+    hit = kind > 0
+    hit |= _untidy(points, row)
+    other = np.zeros(n, bool)
+    other[row[hit]] = True
+    if not other.any():
+        return texts
+    marked = np.zeros(n, bool)
+    marked[row[kind & Tables.JOINS > 0]] = True
+    place, made = np.arange(n), [texts]
+    total = n
+    for which, rows in ((1, other & ~marked), (0, other & marked)):
+        if not rows.any():
+            continue
+        taken = rows[row]
+        renumber = np.cumsum(rows) - 1
+        out, counts = tables.replaced(points[taken], which)
+        own = np.repeat(renumber[row[taken]], counts)
+        out, own = _tidy_spaces(out, own)
+        if which == 0:
+            rank = tables.mark[out].astype(np.int64)
+            out, rank = _order_marks(out.astype(np.int64), own, rank)
+            out, own = _compose(out, own, rank, tables)
+        size = int(rows.sum())
+        made.append(_strings(out.astype(np.uint32), own, size))
+        place[rows] = total + np.arange(size)
+        total += size
+    return pa.concat_arrays(made).take(pa.array(place))
+
 
+def visual_forms(texts: pa.Array, tables: Tables) -> pa.Array:
+    """The common form of each text of a batch; null gives an empty text.
 
-_FORM = "form string"
+    Texts have the same form exactly if they show the same up to the width of characters and
+    spaces: full and half width, composed and combining accents, ligatures, letters in mathematical style, invisible characters,
+    kinds of spaces and hyphens, and letters of other scripts drawn like Latin ones. Case,
+    accents, digits and line breaks are kept. A batch is worked on in slices of SLICE bytes of text, so memory goes by
+    that and the longest text.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    parts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // SLICE)) + 1 if len(texts) else []
+    bounds = [0, *map(int, parts), len(texts)]
+    return pa.concat_arrays([_formed(texts.slice(a, b - a), tables) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
 
 def with_visual_form(documents: DataFrame, text: str = "text", form: str = "form") -> DataFrame:
@@ -259,7 +333,8 @@ def same_look_pairs(documents: DataFrame, ws: Workspace) -> DataFrame:
     """
     formed = with_visual_form(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     marks = ws.keep(formed.where("length(trim(both ' \\n' from form)) > 0").select("doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("own")), "marks")
-    mixed = marks.groupBy("form").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("form")
+    # written, so that adaptive execution can split the texts of a form that very many share
+    mixed = ws.keep(marks.groupBy("form").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("form"), "forms")
     few = ws.keep(marks.join(mixed, "form", "left_semi"), "mixed")
     a = few.select("form", F.col("doc_id").alias("doc_id_a"), F.col("own").alias("own_a"))
     b = few.select("form", F.col("doc_id").alias("doc_id_b"), F.col("own").alias("own_b"))

@@ -124,9 +124,34 @@ def test_what_shows_the_same_and_what_does_not():
     assert len(set(form(*same))) == 1
     for a, b in (("é", "e"), ("A", "a"), ("й", "и"), ("1", "l"), ("½", "1/2"), ("a b", "a\nb"), ("a.", "a"), ("ı", "i"), ("ß", "ss")):
         assert len(set(form(a, b))) == 2
+    assert form("soſt") == ["soſt"] and form("ϐ", "ϑ") == ["ϐ", "ϑ"]  # compatibility letters that are drawn otherwise
     assert len(set(form("μ", "µ"))) == 1 and len(set(form("ｶﾞ", "ガ"))) == 1 and len(set(form("a\r\nb", "a\nb"))) == 1
 
 
+@pytest.mark.parametrize("odd, plain", visual_form.LOOK_ALIKE, ids=range(len(visual_form.LOOK_ALIKE)))
+def test_every_listed_letter_folds(odd, plain):
+    tables = visual_form.Tables()
+    assert visual_form.visual_forms(pa.array([*odd, odd, f"x {odd}"]), tables).to_pylist() == [*plain, plain, f"x {plain}"]
+
+
+def test_rules_for_styles_and_small_letters():
+    tables = visual_form.Tables()
+    styled = [chr(c) for c in range(0x1D400, 0x1D7FF) if unicodedata.decomposition(chr(c)).startswith("<font>")]
+    got = visual_form.visual_forms(pa.array(styled), tables).to_pylist()
+    plain = visual_form.visual_forms(pa.array([unicodedata.normalize("NFKC", c) if c not in "𝛓𝜍𝝇𝞁𝞻" else "ς" for c in styled]), tables).to_pylist()
+    same = [a == b for a, b in zip(got, plain, strict=True)]
+    assert sum(same) >= 0.95 * len(styled) and got[:26] == [chr(65 + i) for i in range(26)]
+    assert visual_form.visual_forms(pa.array(["ᴄᴏꜱᴜᴠᴡᴢ", "﹣﹪", "𝐛𝑜𝟙"]), tables).to_pylist() == ["cosuvwz", "-%", "bo1"]
+
+
+def test_slices_and_long_texts_give_the_same(monkeypatch):
+    rng, tables = random.Random(6), visual_form.Tables()
+    texts = ["".join(rng.choice("ab ́é\n 각ﬁ​") for _ in range(rng.randrange(60))) for _ in range(900)] + [None, "é " * 5000]
+    whole = visual_form.visual_forms(pa.array(texts, pa.string()), tables).to_pylist()
+    monkeypatch.setattr(visual_form, "SLICE", 700)
+    assert visual_form.visual_forms(pa.array(texts, pa.string()), visual_form.Tables()).to_pylist() == whole == [slow_form(tables, t) for t in texts]
+
+
 def test_pairs_that_look_the_same(spark, ws):
     rows = [(1, "film", 1), (2, "ﬁlm", 1), (3, "fіlm", 1), (4, "film", 1), (5, None, 1), (6, "​ ", 1), (7, " ", 1), (8, "other", 1), (None, "ﬁlm", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, form int")
