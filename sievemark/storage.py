@@ -38,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def parts_for(spark: SparkSession, rows: int, row_bytes: int) -> int:
-    """Tasks for so many rows of a shuffle, so that each reads about what the session calls a good partition."""
+    """Tasks for so many rows of a shuffle: each reads about what the session calls a good partition, and no core is idle."""
     said = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
     good = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said)
-    return max(1, min(200_000, -(-rows * row_bytes // max(1 << 20, good))))
+    return max(spark.sparkContext.defaultParallelism, min(200_000, -(-rows * row_bytes // max(1 << 20, good))))
 
 
 class Workspace:
