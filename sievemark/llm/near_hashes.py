@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Workspace
+from ..storage import Workspace, parts_for
 
 P_BITS, D_BITS = 4, 6
 P_BANDS, D_BANDS = 6, 8
@@ -30,6 +30,8 @@ P_PAIRS, D_PAIRS = list(combinations(range(P_BANDS), 2)), list(combinations(rang
 CROWDED = 4096
 #: Crowded keys up to this number are broadcast (16 bytes each); more are joined by shuffle.
 LISTED = 100_000
+#: A row under a key, as it is shuffled.
+ROW_BYTES = 24
 
 
 def mask(bands: int, *chosen: int) -> int:
@@ -96,9 +98,13 @@ def near_vectors(vectors: DataFrame, ws: Workspace, crowded: int = CROWDED) -> D
         marked = keyed.join(F.broadcast(marks) if hot.count() <= LISTED else marks, ["k", "v"], "left")
         loose = marked.where("hot is null").drop("hot")
 
+    # The keys are fifteen times the records, which neither the session's number of partitions nor the planner's estimate knows.
+    tasks = parts_for(vectors.sparkSession, vectors.count() * len(P_PAIRS), 2 * ROW_BYTES)
+
     def sides(rows: DataFrame, keys: list[str]) -> DataFrame:
+        rows = rows.repartition(tasks, *keys)
         a, b = rows.select(*keys, F.col("p").alias("p1"), F.col("d").alias("d1")), rows.select(*keys, F.col("p").alias("p2"), F.col("d").alias("d2"))
-        return a.join(b, keys).where(ordered & near(p1, d1, p2, d2) & first)
+        return a.join(b.hint("merge"), keys).where(ordered & near(p1, d1, p2, d2) & first)
 
     out = sides(loose, ["k", "v"]).select("p1", "d1", "p2", "d2")
     if hot is None:

@@ -86,7 +86,7 @@ def chained_pairs(left: DataFrame, right: DataFrame, ws: Workspace, crowded: int
 
     def met(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
         x, y = x.withColumnsRenamed({"p": "p1", "d": "d1"}), y.withColumnsRenamed({"p": "p2", "d": "d2"})
-        return x.join(y, keys).where(near(p1, d1, p2, d2)).select("p1", "d1", "p2", "d2", "seed")
+        return x.join(y.hint("merge"), keys).where(near(p1, d1, p2, d2)).select("p1", "d1", "p2", "d2", "seed")
 
     if hot is None:
         hits = met(a, b, ["seed"])
