@@ -1,9 +1,9 @@
 """Box operators: suppression, matching, threshold sweeps, alignment.
 
 Boxes are rows (image, box, conf, x1, y1, x2, y2), targets rows (image, box, x1...).
-The sequential rules (greedy suppression, greedy matching) run per image in one Arrow
-batch after rows have been brought together by image and sorted; images stream, so a task holds
-one image's boxes at a time.
+The sequential rules (greedy suppression, greedy matching) run on Arrow batches of whole images
+after rows have been brought together by image and sorted: images with the same number of boxes
+take each step together, as arrays. A task holds a batch, and of an image that exceeds one all boxes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,70 +22,109 @@ from .ordered import running
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
+#: Images with more boxes than this are worked on one by one; cells of the IoU arrays made at a time.
+MANY, CELLS = 64, 1 << 21
+
+
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of each box in a with each in b; 0 where the union is empty."""
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    overlap = np.clip(high - low, 0, None).prod(axis=2)
-    area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(axis=1)
-    union = area(a)[:, None] + area(b)[None, :] - overlap
-    return np.divide(overlap, union, out=np.zeros_like(overlap), where=union > 0)
+    """IoU of each box in a (..., m, 4) with each in b (..., n, 4); 0 where the union is empty."""
+    left, right = np.moveaxis(a, -1, 0)[..., :, None], np.moveaxis(b, -1, 0)[..., None, :]
+
+    def extent(i: int) -> np.ndarray:
+        return np.maximum(np.minimum(left[i + 2], right[i + 2]) - np.maximum(left[i], right[i]), 0.0)
+
+    def area(box: np.ndarray) -> np.ndarray:
+        return np.maximum(box[2] - box[0], 0.0) * np.maximum(box[3] - box[1], 0.0)
+
+    shared = extent(0) * extent(1)
+    union = area(left) + area(right) - shared
+    return np.where(union > 0, shared / np.where(union > 0, union, 1.0), 0.0)
+
+
+def _kept(overlap: np.ndarray, limit: float) -> np.ndarray:
+    """(n, m): greedy suppression in n images of m boxes each, boxes in order of falling confidence."""
+    over = overlap > limit
+    kept = np.ones(over.shape[:2], bool)
+    for i in range(1, over.shape[1]):
+        kept[:, i] = ~(over[:, i, :i] & kept[:, :i]).any(axis=1)
+    return kept
+
+
+def _paired(overlap: np.ndarray, threshold: float, usable: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """((n, boxes) target or -1, IoU): one-to-one matching in n images at once, given (n, boxes, targets)."""
+    n, boxes, targets = overlap.shape
+    found, value, free, every = np.full((n, boxes), -1), np.zeros((n, boxes)), np.ones((n, targets), bool), np.arange(n)
+    for i in range(boxes if targets else 0):
+        open_ = np.where(free, overlap[:, i], -1.0)
+        best = open_.argmax(axis=1)
+        most = open_[every, best]
+        hit = (most >= threshold) & (most >= 0)
+        if usable is not None:
+            hit &= usable[:, i]
+        found[hit, i], value[hit, i] = best[hit], most[hit]
+        free[every[hit], best[hit]] = False
+    return found, value
 
 
 def suppressed(boxes: np.ndarray, iou_threshold: float) -> np.ndarray:
-    """Places kept by greedy suppression of boxes that come in order of falling confidence."""
-    kept: list[int] = []
-    for i in range(len(boxes)):
-        if not kept or iou_matrix(boxes[kept], boxes[i : i + 1]).max() <= iou_threshold:
-            kept.append(i)
-    return np.array(kept, dtype=np.int64)
+    """Places kept by greedy suppression of one image's boxes, in order of falling confidence; memory by MANY x kept."""
+    kept = np.zeros(0, np.int64)
+    for start in range(0, len(boxes), MANY):
+        block = np.arange(start, min(start + MANY, len(boxes)))
+        block = block[~(iou_matrix(boxes[block], boxes[kept]) > iou_threshold).any(axis=1)]
+        kept = np.concatenate([kept, block[_kept(iou_matrix(boxes[block], boxes[block])[None], iou_threshold)[0]]]) if len(block) else kept
+    return kept
 
 
 def matched(targets: np.ndarray, boxes: np.ndarray, iou_threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(target or -1, IoU) of each box, boxes in order of falling confidence.
+    """(target or -1, IoU) of each box of one image, boxes in order of falling confidence.
 
     Each box takes the unmatched target it overlaps most (the earliest of equals), if enough.
     """
-    found, value = np.full(len(boxes), -1), np.zeros(len(boxes))
-    if not len(targets):
-        return found, value
-    overlap = iou_matrix(targets, boxes)
-    for i in range(len(boxes)):
-        best = int(np.argmax(overlap[:, i]))
-        if overlap[best, i] >= iou_threshold and overlap[best, i] >= 0:
-            found[i], value[i] = best, overlap[best, i]
-            overlap[best, :] = -1
-    return found, value
+    found, value = _paired(iou_matrix(boxes, targets)[None], iou_threshold)
+    return found[0], value[0]
 
 
-def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-    return zip(cuts[:-1], cuts[1:], strict=True)
+def alike(sizes: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of images with the same sizes (n, k), so many at a time that their arrays have CELLS cells; large ones one by one."""
+    order = np.lexsort(sizes.T)
+    cuts = np.flatnonzero((np.diff(sizes[order], axis=0) != 0).any(axis=1)) + 1
+    for group in np.split(order, cuts) if len(order) else []:
+        step = 1 if sizes[group[0]].max() > MANY else max(1, int(CELLS // max(1, cells[group[0]])))
+        yield from (group[i : i + step] for i in range(0, len(group), step))
 
 
-def per_image(rows: DataFrame, image: str, order: list, function: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
-    """Applies a function to each image's rows, sorted by ``order``; images stream through a task.
+def per_image(rows: DataFrame, image: str, order: list, function: Callable[[pa.Table, np.ndarray], pa.Table], schema) -> DataFrame:
+    """Applies a function to whole images, many at a time, each image's rows sorted by ``order``.
 
     Rows are hash-partitioned and sorted by image in the JVM; Python sees Arrow batches and
-    holds back only the image that the next batch may continue.
+    holds back only the image that the next batch may continue. The function gets a batch's images and
+    where each begins, with the end as last entry.
     """
     names = [f.name for f in schema.fields]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # pieces of one image, so that a long one is not copied again and again
+        def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            keys = table[image].to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            yield from function(table, starts).select(names).combine_chunks().to_batches()
+
         for part in parts:
-            table = pa.Table.from_batches([part])
-            if held is not None:
-                table = pa.concat_tables([held, table]).combine_chunks()
-            if not table.num_rows:
+            if not part.num_rows:
+                continue
+            keys = part[image].to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[-1])
+            if held and keys[0] == held[0][image][0].as_py() and last == 0:
+                held.append(part)
                 continue
-            ends = list(_runs(table[image].to_numpy(zero_copy_only=False)))
-            held = table.slice(ends[-1][0])
-            done = [function(table.slice(a, b - a)) for a, b in ends[:-1]]
-            if done:
-                yield from pa.concat_tables(done).select(names).combine_chunks().to_batches()
-        if held is not None and held.num_rows:
-            yield from function(held).select(names).combine_chunks().to_batches()
+            whole = [*held, part.slice(0, last)]
+            if sum(p.num_rows for p in whole):
+                yield from run(pa.Table.from_batches(whole))
+            held = [part.slice(last)]
+        if held:
+            yield from run(pa.Table.from_batches(held))
 
     return rows.repartition(image).sortWithinPartitions(image, *order).mapInArrow(batches, schema)
 
@@ -103,39 +142,105 @@ def suppress(boxes: DataFrame, iou_threshold: float) -> DataFrame:
         raise ValueError("the IoU threshold lies outside [0, 1]")
     clean = boxes.where("image is not null and conf is not null").select("image", "box", "conf", *CORNERS)
 
-    def keep(table: pa.Table) -> pa.Table:
-        return table.take(pa.array(suppressed(_corners(table), iou_threshold)))
+    def keep(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        corners, size = _corners(table), np.diff(starts)
+        kept = np.zeros(len(corners), bool)
+        for group in alike(size[:, None], size * size):
+            if size[group[0]] > MANY:
+                kept[starts[group[0]] + suppressed(corners[starts[group[0]] : starts[group[0] + 1]], iou_threshold)] = True
+                continue
+            at = starts[group][:, None] + np.arange(size[group[0]])
+            kept[at] = _kept(iou_matrix(corners[at], corners[at]), iou_threshold)
+        return table.filter(pa.array(kept))
 
     return per_image(clean, "image", [F.col("conf").desc(), F.col("box")], keep, clean.schema)
 
 
+def _both(targets: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Targets and boxes as rows of one kind; within an image targets come first, then boxes by falling confidence."""
+    clean = boxes.where("image is not null and conf is not null").select("image", "box", F.col("conf").cast("double").alias("conf"), F.lit(False).alias("is_target"), *CORNERS)
+    aims = targets.where("image is not null").select("image", "box", F.lit(None).cast("double").alias("conf"), F.lit(True).alias("is_target"), *CORNERS)
+    return aims.union(clean)
+
+
+def _order() -> list[Column]:
+    return [F.col("is_target").desc(), F.col("conf").desc(), F.col("box")]
+
+
+def _sides(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(is_target, number of targets, number of boxes) of a batch's images."""
+    is_target = table["is_target"].to_numpy(zero_copy_only=False).astype(bool)
+    aims = np.add.reduceat(is_target.astype(np.int64), starts[:-1]) if len(starts) > 1 else np.zeros(0, np.int64)
+    return is_target, aims, np.diff(starts) - aims
+
+
 def match(targets: DataFrame, boxes: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
     """(image, box, conf, target, iou): every box with the target it is matched to, or nulls.
 
     One-to-one, boxes by falling confidence (ties by box), targets by box id. Boxes of images without
     targets come out unmatched.
     """
-    clean = boxes.where("image is not null and conf is not null").select("image", "box", F.col("conf").cast("double").alias("conf"), F.lit(False).alias("is_target"), *CORNERS)
-    aims = targets.where("image is not null").select("image", "box", F.lit(None).cast("double").alias("conf"), F.lit(True).alias("is_target"), *CORNERS)
-    rows = aims.union(clean)
-    kinds = [("image", clean.schema["image"].dataType), ("box", clean.schema["box"].dataType), ("conf", T.DoubleType()), ("target", aims.schema["box"].dataType), ("iou", T.DoubleType())]
+    rows = _both(targets, boxes)
+    kinds = [("image", rows.schema["image"].dataType), ("box", boxes.schema["box"].dataType), ("conf", T.DoubleType()), ("target", targets.schema["box"].dataType), ("iou", T.DoubleType())]
+    out = T.StructType([T.StructField(n, k) for n, k in kinds])
+
+    def pair(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        corners = _corners(table)
+        is_target, aims, own = _sides(table, starts)
+        target, value = np.full(len(corners), -1), np.zeros(len(corners))
+        for group in alike(np.column_stack([aims, own]), aims * own):
+            t, b = aims[group[0]], own[group[0]]
+            if not t or not b:
+                continue
+            first = starts[group][:, None]
+            at = first + t + np.arange(b)
+            found, value[at] = _paired(iou_matrix(corners[at], corners[first + np.arange(t)]), iou_threshold)
+            target[at] = np.where(found >= 0, first + found, -1)
+        hit = target >= 0
+        boxes_ = pa.array(~is_target)
+        return pa.table({
+            "image": table["image"], "box": table["box"], "conf": table["conf"],
+            "target": table["box"].combine_chunks().take(pa.array(target, mask=~hit)), "iou": pa.array(value, mask=~hit),
+        }).filter(boxes_)
+
+    return per_image(rows, "image", _order(), pair, out)
+
+
+def suppression_sweep(targets: DataFrame, boxes: DataFrame, limits: list[float], iou_threshold: float = 0.5) -> DataFrame:
+    """(image, nms_iou, ground_truth_instances, boxes, kept, tp): each image under suppression at each limit, then matched.
+
+    One pass for all limits: an image's overlaps are computed once and its boxes are shuffled once.
+    """
+    rows = _both(targets, boxes)
+    kinds = [("image", rows.schema["image"].dataType), ("nms_iou", T.DoubleType()), *[(n, T.LongType()) for n in ("ground_truth_instances", "boxes", "kept", "tp")]]
     out = T.StructType([T.StructField(n, k) for n, k in kinds])
-    box_type = pa.int64() if out["target"].dataType.simpleString() == "bigint" else pa.string()
-
-    def pair(table: pa.Table) -> pa.Table:
-        is_target = table["is_target"].to_numpy(zero_copy_only=False)
-        aim, own = table.filter(pa.array(is_target)), table.filter(pa.array(~is_target))
-        found, value = matched(_corners(aim), _corners(own), iou_threshold)
-        names = aim["box"].to_pylist()
-        hit = found >= 0
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        corners = _corners(table)
+        _, aims, own = _sides(table, starts)
+        kept, hits = (np.zeros((len(own), len(limits)), np.int64) for _ in range(2))
+        for group in alike(np.column_stack([aims, own]), own * (own + aims)):
+            t, b = aims[group[0]], own[group[0]]
+            first = starts[group][:, None]
+            at, on = first + t + np.arange(b), first + np.arange(t)
+            if b > MANY:
+                alone = corners[at[0]]
+                for k, limit in enumerate(limits):
+                    left = suppressed(alone, limit)
+                    kept[group[0], k], hits[group[0], k] = len(left), (matched(corners[on[0]], alone[left], iou_threshold)[0] >= 0).sum()
+                continue
+            among, across = iou_matrix(corners[at], corners[at]), iou_matrix(corners[at], corners[on])
+            for k, limit in enumerate(limits):
+                left = _kept(among, limit)
+                kept[group, k] = left.sum(axis=1)
+                hits[group, k] = (_paired(across, iou_threshold, left)[0] >= 0).sum(axis=1)
+        n = len(limits)
         return pa.table({
-            "image": own["image"], "box": own["box"], "conf": own["conf"],
-            "target": pa.array([names[f] if f >= 0 else None for f in found], box_type),
-            "iou": pa.array([v if h else None for v, h in zip(value.tolist(), hit, strict=True)], pa.float64()),
+            "image": table["image"].combine_chunks().take(pa.array(np.repeat(starts[:-1], n))), "nms_iou": pa.array(np.tile(np.array(limits, np.float64), len(own))),
+            "ground_truth_instances": np.repeat(aims, n), "boxes": np.repeat(own, n), "kept": kept.ravel(), "tp": hits.ravel(),
         })
 
-    # Within an image targets come first, then boxes by falling confidence.
-    return per_image(rows, "image", [F.col("is_target").desc(), F.col("conf").desc(), F.col("box")], pair, out)
+    return per_image(rows, "image", _order(), run, out)
 
 
 def image_counts(targets: DataFrame, boxes: DataFrame, matches: DataFrame) -> DataFrame:
@@ -267,9 +372,9 @@ def alignment_errors(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     b = candidate.join(reference.select("image").distinct(), "image", "left_semi").select("image", F.lit(1).alias("side"), *CORNERS)
     schema = T.StructType([T.StructField("image", a.schema["image"].dataType), T.StructField("error", T.DoubleType())])
 
-    def align(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy(zero_copy_only=False)
-        boxes = _corners(table)
-        return pa.table({"image": table["image"].slice(0, 1), "error": pa.array([bottleneck(boxes[side == 0], boxes[side == 1])])})
+    def align(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        side, boxes = table["side"].to_numpy(zero_copy_only=False), _corners(table)
+        errors = [bottleneck(boxes[a:b][side[a:b] == 0], boxes[a:b][side[a:b] == 1]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        return pa.table({"image": table["image"].combine_chunks().take(pa.array(starts[:-1])), "error": pa.array(errors, pa.float64())})
 
     return per_image(a.union(b), "image", ["side", *CORNERS], align, schema)

@@ -67,25 +67,38 @@ CANDIDATES = (0.3, 0.4, 0.5, 0.6, 0.7)
 _RATIO = "tp / greatest(1, tp + fp) as precision, tp / greatest(1, tp + fn) as lesion_sensitivity, 2 * (tp / greatest(1, tp + fp)) * (tp / greatest(1, tp + fn)) / greatest(tp / greatest(1, tp + fp) + tp / greatest(1, tp + fn), 1e-12::double) as f1"
 
 
-@query("nms_sweep")
+_SWEEP = ", ".join(_sql_nms(f"{c}::double", f"_{round(c * 10)}") for c in CANDIDATES)
+
+
+def _sql_sweep(limit: float) -> str:
+    n = f"_{round(limit * 10)}"
+    match_ = SQL_MATCH.replace("pr)", f"kp{n})", 1).replace("om as", f"om{n} as").replace("from om ", f"from om{n} ").replace("join om ", f"join om{n} ").replace("tl as", f"tl{n} as").replace("join tl ", f"join tl{n} ").replace("tl.image", f"tl{n}.image").replace("om.image", f"om{n}.image").replace("mst", f"mst{n}").replace("mt as", f"mt{n} as")
+    counts = SQL_COUNTS.replace("from mt ", f"from mt{n} ").replace("cnt as", f"cnt{n} as")
+    return f"kp{n} as (select pr.* from pr join nk{n} using (image, box)), {match_}, {counts}"
+
+
+def _sql_row(limit: float) -> str:
+    return (
+        f"select {limit}::double as nms_iou, (select count(*) from pr) as boxes_before, (tp + fp)::bigint as boxes_after, ((select count(*) from pr) - tp - fp)::bigint as boxes_removed, tp, fp, fn, {_RATIO}, alarms / greatest(negative_images, 1) as negative_image_false_alarm_rate "
+        f"from (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, count(*) filter (ground_truth_instances = 0) as negative_images, count(*) filter (ground_truth_instances = 0 and fp > 0) as alarms from cnt_{round(limit * 10)})"
+    )
+
+
+@query("nms_sweep", f"with recursive {SQL_BOXES}, {_SWEEP}, " + ", ".join(map(_sql_sweep, CANDIDATES)) + " " + " union all ".join(map(_sql_row, CANDIDATES)))
 def nms_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """What suppression at several IoU limits removes and does to the matching."""
     targets, predictions = views.boxes(spark, folder)
-    ws = Workspace(spark, "nms")
-    predictions = ws.keep(predictions, "boxes")
-    before = predictions.count()
-    rows = []
-    for limit in CANDIDATES:
-        kept = ws.keep(bx.suppress(predictions, limit), "kept")
-        counts = bx.image_counts(targets, kept, bx.match(targets, kept))
-        rows.append(bx.detection_summary(counts).select(
-            F.lit(limit).alias("nms_iou"), F.lit(before).alias("boxes_before"), (F.col("tp") + F.col("fp")).alias("boxes_after"), (F.lit(before) - F.col("tp") - F.col("fp")).alias("boxes_removed"),
-            "tp", "fp", "fn", "precision", "lesion_sensitivity", "f1", "negative_image_false_alarm_rate",
-        ))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    per = bx.suppression_sweep(targets, predictions, list(CANDIDATES))
+    clean, missed = F.col("ground_truth_instances") == 0, F.col("kept") > F.col("tp")
+    sums = per.groupBy("nms_iou").agg(
+        F.sum("boxes").alias("boxes_before"), F.sum("kept").alias("boxes_after"), (F.sum("boxes") - F.sum("kept")).alias("boxes_removed"), F.sum("tp").alias("tp"), (F.sum("kept") - F.sum("tp")).alias("fp"),
+        (F.sum("ground_truth_instances") - F.sum("tp")).alias("fn"), (F.count_if(clean & missed) / F.greatest(F.count_if(clean), F.lit(1))).alias("negative_image_false_alarm_rate"),
+    )
+    precision, recall = scalar.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), scalar.safe_ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return sums.select(
+        "nms_iou", "boxes_before", "boxes_after", "boxes_removed", "tp", "fp", "fn", precision.alias("precision"), recall.alias("lesion_sensitivity"),
+        (2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))).alias("f1"), "negative_image_false_alarm_rate",
+    )
 
 
 @query("greedy_match", MATCHED + "select image, box, target, iou from mt")

@@ -78,3 +78,55 @@ def test_fixed_rounds_like_the_exact_value(spark):
     values = [rng.random() for _ in range(2000)] + [0.0, 1.0, 0.5, 0.000000005, 0.000000015, 0.25 / 2**20, 1 / 512, 3 / 1024] + [k / 2**10 for k in range(1024)]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(scalar.fixed(F.col("v"), 8)).collect()]
     assert got == [f"{v:.8f}" for v in values]
+
+
+def plain_iou(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    shared = max(w, 0) * max(h, 0)
+    union = sum(max(x[2] - x[0], 0) * max(x[3] - x[1], 0) for x in (a, b)) - shared
+    return shared / union if union > 0 else 0.0
+
+
+def plain_kept(boxes, limit):
+    kept = []
+    for box in sorted(boxes, key=lambda r: (-r[2], r[1])):
+        if all(plain_iou(box[3:], k[3:]) <= limit for k in kept):
+            kept.append(box)
+    return kept
+
+
+def plain_match(targets, boxes, least):
+    free, out = sorted(targets, key=lambda r: r[1]), {}
+    for box in sorted(boxes, key=lambda r: (-r[2], r[1])):
+        best = max(free, key=lambda t: plain_iou(t[2:], box[3:]), default=None)  # the first of equals
+        hit = best is not None and plain_iou(best[2:], box[3:]) >= least
+        out[box[0], box[1]] = best[1] if hit else None
+        if hit:
+            free.remove(best)
+    return out
+
+
+def test_many_images_at_once_equal_one_by_one(spark):
+    """Images of every size, some beyond what is worked on together and cut by Arrow batches, one without boxes or targets."""
+    rng = random.Random(8)
+    box = lambda: (x := float(rng.randrange(40)), y := float(rng.randrange(40)), x + rng.randrange(20), y + rng.randrange(20))
+    sizes = {i: (rng.randrange(4), rng.randrange(7)) for i in range(60)} | {60: (70, 150), 61: (3, 90), 62: (80, 2), 63: (0, 70)}
+    aims = [(i, k, *box()) for i, (t, _) in sizes.items() for k in range(t)]
+    own = [(i, k, rng.randrange(9) / 10, *box()) for i, (_, b) in sizes.items() for k in range(b)]
+    t, p = spark.createDataFrame(aims, AIM), spark.createDataFrame(own, BOX)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        kept = {(r.image, r.box) for r in bx.suppress(p, 0.3).collect()}
+        found = {(r.image, r.box): r.target for r in bx.match(t, p, 0.2).collect()}
+        swept = {(r.image, r.nms_iou): tuple(r)[2:] for r in bx.suppression_sweep(t, p, [0.1, 0.6], 0.2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by = lambda rows, i: [r for r in rows if r[0] == i]
+    assert kept == {(r[0], r[1]) for i in sizes for r in plain_kept(by(own, i), 0.3)}
+    assert found == {k: v for i in sizes for k, v in plain_match(by(aims, i), by(own, i), 0.2).items()}
+    for i, (n, b) in sizes.items():
+        for limit in (0.1, 0.6):
+            left = plain_kept(by(own, i), limit)
+            hits = sum(v is not None for v in plain_match(by(aims, i), left, 0.2).values())
+            assert not n and not b or swept[i, limit] == (n, b, len(left), hits)
