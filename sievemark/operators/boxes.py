@@ -285,9 +285,15 @@ def sweep(targets: DataFrame, matches: DataFrame, images: DataFrame, thresholds:
     """
     spark = matches.sparkSession
     ordered = sorted(thresholds)
-    grid = F.array(*[F.lit(float(t)) for t in ordered])
-    # number of thresholds that the confidence reaches: a search in the grid
-    reach = F.size(F.filter(grid, lambda t: t <= F.col("conf")))
+
+    def reached(low: int, high: int) -> Column:
+        """Number of thresholds that the confidence reaches, known to be from low to high: a binary search, as one expression."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(F.col("conf") >= ordered[middle - 1], reached(middle, high)).otherwise(reached(low, middle - 1))
+
+    reach = reached(0, len(ordered))
     totals = targets.select(F.count("*").alias("gt")).first()["gt"]
     clean = images.select("image").distinct().join(targets.select("image").distinct(), "image", "left_anti")
     negatives = clean.count()

@@ -7,13 +7,15 @@ negatives, which leaves every metric but average precision unchanged and combine
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import CLIP, nan_ratio, temperature_scaled
+from ..functions.scalar import CLIP, nan_ratio
 from ..storage import Workspace
 from .ordered import running
 
@@ -148,14 +150,30 @@ def classification_report(scores: DataFrame, ws: Workspace, threshold: float, ke
 def fit_temperature(scores: DataFrame) -> DataFrame:
     """(temperature, loss): the first of 2001 log-spaced temperatures with the least log loss.
 
-    Rows are collapsed to distinct scores; each is evaluated on the whole grid and summed
-    map-side, so what is shuffled is at most 2001 sums per task.
+    Rows are collapsed to distinct scores. A task adds up the losses of its scores at all temperatures as
+    one vector, so what it puts out and shuffles are 2001 sums, however many scores it has.
     """
+    spark = scores.sparkSession
     lo, hi = math.log(0.1), math.log(10.0)
-    step = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
-    table = by_score(scores).withColumn("_i", step).withColumn("temperature", F.exp(F.lit(lo) + F.col("_i") * F.lit((hi - lo) / (GRID - 1))))
-    q = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), temperature_scaled(F.col("probability"), F.col("temperature"))))
-    lossy = table.groupBy("_i", "temperature").agg((-F.sum(F.col("pos") * F.log(q) + F.col("neg") * F.log(1 - q)) / F.sum(F.col("pos") + F.col("neg"))).alias("loss"))
+    grid = np.exp(lo + np.arange(GRID) * ((hi - lo) / (GRID - 1)))
+
+    def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        losses, n = np.zeros(GRID), 0
+        for part in parts:
+            p, pos, neg = (part.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(3))
+            p = np.clip(p, CLIP, 1 - CLIP)
+            logit = np.log(p / (1 - p))
+            n += int(pos.sum() + neg.sum())
+            for i in range(0, len(p), 256):
+                rows = slice(i, i + 256)
+                q = np.clip(1 / (1 + np.exp(-logit[rows, None] / grid)), CLIP, 1 - CLIP)
+                losses -= pos[rows] @ np.log(q) + neg[rows] @ np.log(1 - q)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(GRID), pa.int32()), pa.array(grid), pa.array(losses), pa.array([n] * GRID, pa.int64())], names=["i", "temperature", "loss", "n"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = by_score(scores).repartition(tasks, "probability").mapInArrow(summed, "i int, temperature double, loss double, n bigint")
+    lossy = parts.groupBy("i", "temperature").agg((F.sum("loss") / F.sum("n")).alias("loss"))
     return lossy.agg(F.min(F.struct("loss", "temperature")).alias("b")).where("b is not null").select("b.temperature", "b.loss")
 
 

@@ -22,7 +22,7 @@ INV = f"with {SQL_INVENTORY} "
 
 @query("scan_inventory", INV + "select image_id, 'images/' || case when fractured = 1 then 'Fractured' else 'Non_fractured' end || '/' || image_id as canonical_path, regexp_replace(image_id, '\\.[^.]*$', '') || '.txt' as label_file, fractured, fracture_count, anatomy, view, width, height, decode_status, size_bytes, digest from inv")
 def scan_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inventory(spark, folder)
+    rows = inventory(spark, folder, "image_id", "fractured", "fracture_count", "anatomy", "view", "width", "height", "decode_status", "size_bytes", "digest")
     return rows.select("image_id", scalar.canonical_path(F.col("image_id"), F.col("fractured")).alias("canonical_path"), scalar.with_suffix(F.col("image_id"), ".txt").alias("label_file"), "fractured", "fracture_count", "anatomy", "view", "width", "height", "decode_status", "size_bytes", "digest")
 
 
