@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sections of the 64-bit order key. A group is summed in so many parts, so that one with a
+#: Sections of the 64-bit order key, at least. A group is summed in so many parts, so that one with a
 #: third of all rows is spread over as many tasks.
 SECTIONS = 512
+#: Rows of a section, about, where the number of rows is known.
+SECTION_ROWS = 1 << 20
+
+
+def sections_for(rows: int) -> int:
+    """Sections that keep a group of all rows at about SECTION_ROWS to a task, a power of two."""
+    return max(SECTIONS, 1 << (max(0, rows - 1) // SECTION_ROWS).bit_length())
 
 
 def hash_order(key: Column, seed: int) -> Column:
