@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import label_key, level, reference_key, split_name
-from ..operators.prefix import hash_order, running_sum
+from ..operators.prefix import hash_order, running_sum, sections_for
 from ..sources.tables import table
 from ..storage import Workspace
 
@@ -152,7 +152,7 @@ def assign(images: DataFrame, roots: DataFrame, targets: DataFrame, ws: Workspac
     middle = F.pmod((F.col("_upto") - F.col("size") / 2) / F.col("_whole") + start, F.lit(1.0))
     chosen = F.filter("ends", lambda e: e["upto"] >= F.col("_middle"))
     dealt = (
-        running_sum(rest, "lane", "_order", "group_id", "size", "_upto", 64).join(lanes, "lane").withColumn("_middle", middle).join(cuts, "stratum")
+        running_sum(rest, "lane", "_order", "group_id", "size", "_upto", max(64, sections_for(rest.count()) // 8)).join(lanes, "lane").withColumn("_middle", middle).join(cuts, "stratum")
         .select("group_id", F.coalesce(F.get(chosen, F.lit(0))["split"], F.element_at("ends", -1)["split"]).alias("split"))
     )
     return grouped.join(ws.keep(dealt.union(placed), "dealt"), "group_id").select("image_id", "split", "group_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import stripped
-from ..operators.prefix import hash_order, running_sum
+from ..operators.prefix import hash_order, running_sum, sections_for
 from ..sources.tables import table
 from ..storage import Workspace
 from .byte_bpe import token_counts
@@ -45,7 +45,7 @@ def mixture(documents: DataFrame, targets: DataFrame, ws: Workspace, total: int
         epochs, rest = divmod(min(budget, have * cap), have) if have else (0, 0)
         limits.append((g["source"], int(epochs), int(rest)))
     cuts = spark.createDataFrame(limits, "_source string, _epochs long, _rest long")
-    ordered = running_sum(sized.withColumn("_order", hash_order(F.col("doc_id"), seed)), "source", "_order", "doc_id", "tokens", "_upto")
+    ordered = running_sum(sized.withColumn("_order", hash_order(F.col("doc_id"), seed)), "source", "_order", "doc_id", "tokens", "_upto", sections_for(sized.count()))
     repeats = F.col("_epochs") + F.when((F.col("_upto") - F.col("_rest")) * 2 <= F.col("tokens"), 1).otherwise(0)
     # An epoch that is cut at zero takes nothing.
     repeats = F.when(F.col("_rest") > 0, repeats).otherwise(F.col("_epochs"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.identity import level
-from ..operators.prefix import hash_order, running_sum
+from ..operators.prefix import hash_order, running_sum, sections_for
 from ..sources.tables import table
 from ..storage import Workspace
 
@@ -101,7 +101,7 @@ def ranked_records(image_record: DataFrame, targets: DataFrame, ws: Workspace, o
     limits = report.select(F.col("stratum_id").alias("_s"), F.col("seats").alias("_seats"), F.col("target_share").alias("_share"))
     ranked = running_sum(
         strata.where(F.col("stratum_id").isNotNull()).select("image_id", "stratum_id", hash_order(F.col("image_id"), seed).alias("_order"), F.lit(1).cast("bigint").alias("_one")),
-        "stratum_id", "_order", "image_id", "_one", "_rank",
+        "stratum_id", "_order", "image_id", "_one", "_rank", sections_for(strata.count()),
     )
     priority = F.when(F.col("_share") > 0, (F.col("_rank") - 0.5) / F.col("_share"))
     marked = ranked.join(F.broadcast(limits), F.col("stratum_id") == F.col("_s")).select("image_id", "stratum_id", priority.alias("priority"), (F.col("_rank") <= F.col("_seats")).alias("drawn"))
