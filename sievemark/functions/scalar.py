@@ -65,14 +65,6 @@ def difference_bits(rows: Column) -> Column:
     return F.transform(places, lambda i: at(F.floor(i / 8).cast("int") * 9 + i % 8 + 1) > at(F.floor(i / 8).cast("int") * 9 + i % 8))
 
 
-def dct_basis(n: int) -> list[list[float]]:
-    """The orthonormal DCT-II basis, row by row."""
-    import math
-
-    scale = [math.sqrt(1 / n)] + [math.sqrt(2 / n)] * (n - 1)
-    return [[scale[k] * math.cos(math.pi * (2 * i + 1) * k / (2 * n)) for i in range(n)] for k in range(n)]
-
-
 def structural_similarity(a: Column, b: Column, peak: float = 255.0) -> Column:
     """One-window SSIM of two equally long arrays; 0 where its denominator is 0."""
     n = F.size(a).cast("double")

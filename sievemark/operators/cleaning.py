@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .ordered import numbered
+from .ordered import numbered, running
 
 SEED = 20260912
 RATIOS = {"test": 0.2, "train": 0.7, "validation": 0.1}
@@ -119,6 +119,38 @@ def cleaning_summary(decisions: DataFrame) -> DataFrame:
     )
 
 
+def _group_strata(members: DataFrame, seed: int) -> DataFrame:
+    """(split_group, size, stratum, place) of each group, place being its key in the order of dealing."""
+    counts = members.groupBy("split_group", "fractured", "anatomy").agg(F.count("*").alias("n"))
+    return (
+        counts.withColumn("anatomy", F.coalesce("anatomy", F.lit("unknown")))
+        .groupBy("split_group")
+        .agg(F.sum("n").alias("size"), F.max("fractured").alias("label"), F.min(F.struct((-F.col("n")).alias("few"), "anatomy")).alias("m"))
+        .select("split_group", "size", F.concat_ws("|", F.coalesce(F.col("label").cast("string"), F.lit("")), "m.anatomy").alias("stratum"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("split_group"))).alias("place"))
+    )
+
+
+def deal_groups_by_size(members: DataFrame, ws: Workspace, seed: int = SEED, ratios: dict[str, float] | None = None) -> DataFrame:
+    """(split_group, split, stratum) as from ``deal_groups``, for any size: groups stand in the same order, and a group goes to the
+    split in whose part of the stratum the middle of its place in the cumulated size falls.
+
+    The cumulated size is a running total over ranges of all strata together, so a stratum is as many tasks as it has
+    ranges. Each stratum meets its shares within one group's size; which group goes where differs from the sequential rule.
+    """
+    shares = ratios or RATIOS
+    named = ws.keep(_group_strata(members, seed), "groups")
+    run = running(named, ws, [F.col("place"), F.col("split_group")], {"upto": "size"}, ("stratum",))
+    totals = ws.keep(named.groupBy("stratum").agg(F.sum("size").alias("total")), "totals")
+    middle = (F.col("upto") - F.col("size") / 2) / F.col("total")
+    chosen, ends = None, 0.0
+    names = sorted(shares, key=lambda s: (shares[s], s), reverse=True)
+    for name in names[:-1]:
+        ends += shares[name]
+        chosen = F.when(middle <= ends, name) if chosen is None else chosen.when(middle <= ends, name)
+    split = F.lit(names[-1]) if chosen is None else chosen.otherwise(names[-1])
+    return run.join(totals, "stratum").select("split_group", split.alias("split"), "stratum")
+
+
 def deal_groups(members: DataFrame, ws: Workspace, seed: int = SEED, ratios: dict[str, float] | None = None) -> DataFrame:
     """(split_group, split) for ``members`` (split_group, fractured, anatomy), one row per record.
 
@@ -128,14 +160,7 @@ def deal_groups(members: DataFrame, ws: Workspace, seed: int = SEED, ratios: dic
     definition; a stratum streams through one task that holds one counter per split.
     """
     shares = ratios or RATIOS
-    counts = members.groupBy("split_group", "fractured", "anatomy").agg(F.count("*").alias("n"))
-    named = (
-        counts.withColumn("anatomy", F.coalesce("anatomy", F.lit("unknown")))
-        .groupBy("split_group")
-        .agg(F.sum("n").alias("size"), F.max("fractured").alias("label"), F.min(F.struct((-F.col("n")).alias("few"), "anatomy")).alias("m"))
-        .select("split_group", "size", F.concat_ws("|", F.coalesce(F.col("label").cast("string"), F.lit("")), "m.anatomy").alias("stratum"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("split_group"))).alias("place"))
-    )
-    named = ws.keep(named, "groups")
+    named = ws.keep(_group_strata(members, seed), "groups")
     totals = named.groupBy("stratum").agg(F.sum("size").alias("total"))
     rows = named.join(totals, "stratum").select("stratum", "place", "split_group", "size", "total")
     names = sorted(shares, key=lambda s: (shares[s], s), reverse=True)

@@ -51,12 +51,6 @@ def label_fields(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
-def parsed_label(line: str = "line") -> list[Column]:
-    """class_id, cx, cy, w, h of a label line, null where a field is no number."""
-    parts = label_fields(F.col(line))
-    return [F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("class_id", "cx", "cy", "w", "h"))]
-
-
 def label_fault(line: str = "line") -> Column:
     """malformed, out of range, or null for a good label line of class 0; a null line is no line."""
 

@@ -95,36 +95,16 @@ def perceptual_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select("vec_id", as_text(scalar.perceptual_bits(F.col("embedding"))).alias("phash_bits"), as_text(scalar.difference_bits(F.col("closed"))).alias("dhash_bits"))
 
 
-def _blocks(spark: SparkSession, folder: str) -> DataFrame:
-    closed = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.concat(F.slice("embedding", r * 8 + 1, F.lit(8)), F.slice("embedding", r * 8 + 1, F.lit(1)))))
-    return table(spark, folder, "embeddings", "vec_id", "embedding", "label").withColumn("closed", closed)
-
+def closed_rows() -> Column:
+    """The eight rows of a block, each closed by its first value."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.concat(F.slice("embedding", r * 8 + 1, F.lit(8)), F.slice("embedding", r * 8 + 1, F.lit(1)))))
 
-_SSIM = "((2 * ma * mb + 6.5025) * (2 * cov + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))"
 
+def _blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings", "vec_id", "embedding", "label").withColumn("closed", closed_rows())
 
-@query(
-    "near_dup_vectors",
-    f"""with h as (select vec_id, label, embedding, {_PH} as p, {_DH} as d, list_transform(embedding, lambda v: (v::double + 1) * 127.5) as px from embeddings),
-    c as (select a.vec_id as left_id, b.vec_id as right_id, bit_count(xor(a.p::bit, b.p::bit))::int as phash_distance, bit_count(xor(a.d::bit, b.d::bit))::int as dhash_distance, a.px as pa, b.px as pb from h a join h b on a.label = b.label and a.vec_id < b.vec_id),
-    f as (select *, list_avg(pa) as ma, list_avg(pb) as mb, list_avg(list_transform(pa, lambda x: x * x)) as qa, list_avg(list_transform(pb, lambda x: x * x)) as qb, list_avg(list_transform(range(64), lambda i: pa[i + 1] * pb[i + 1])) as q from c where phash_distance <= 20 or dhash_distance <= 14),
-    g as (select *, qa - ma * ma as va, qb - mb * mb as vb, q - ma * mb as cov from f)
-    select left_id, right_id, phash_distance, dhash_distance, {_SSIM} as global_ssim from g where {_SSIM} >= 0.3""",
-)
-def near_dup_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs within a block by either hash, then refined by SSIM, which only candidates pay for.
 
-    The limits are wide for these random vectors (20 and 14 bits), too wide for bands; blocks are
-    compared in full, as the rule is stated. Use near_dup_pairs' bands for narrow limits.
-    """
-    h = _blocks(spark, folder).select("vec_id", "label", scalar.bits_to_long(scalar.perceptual_bits(F.col("embedding"))).alias("p"), scalar.bits_to_long(scalar.difference_bits(F.col("closed"))).alias("d"))
-    ws = Workspace(spark, "vectors")
-    h = ws.keep(h, "hashes")
-    a, b = h.select("label", *[F.col(c).alias(f"{c}1") for c in ("vec_id", "p", "d")]), h.select("label", *[F.col(c).alias(f"{c}2") for c in ("vec_id", "p", "d")])
-    near = a.join(b, "label").where("vec_id1 < vec_id2").select("vec_id1", "vec_id2", scalar.hamming(F.col("p1"), F.col("p2")).alias("phash_distance"), scalar.hamming(F.col("d1"), F.col("d2")).alias("dhash_distance")).where("phash_distance <= 20 or dhash_distance <= 14")
-    pixels = table(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda v: (v.cast("double") + 1) * 127.5).alias("px"))
-    full = near.join(pixels.select(F.col("vec_id").alias("vec_id1"), F.col("px").alias("pa")), "vec_id1").join(pixels.select(F.col("vec_id").alias("vec_id2"), F.col("px").alias("pb")), "vec_id2")
-    return full.select(F.col("vec_id1").alias("left_id"), F.col("vec_id2").alias("right_id"), "phash_distance", "dhash_distance", scalar.structural_similarity(F.col("pa"), F.col("pb")).alias("global_ssim")).where("global_ssim >= 0.3")
+_SSIM = "((2 * ma * mb + 6.5025) * (2 * cov + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))"
 
 
 _NEAR_SQL = INV + """select a.anatomy, a.image_id as left_image_id, b.image_id as right_image_id, a.fractured <> b.fractured as label_conflict, bit_count(xor(a.p, b.p)::bit)::int as phash_distance, bit_count(xor(a.d, b.d)::bit)::int as dhash_distance
@@ -318,7 +298,8 @@ _AUDIT = INV + """select (select count(*) from image_record) as csv_rows, count(
 @query("audit_summary", _AUDIT)
 def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
     """One row of counts; its parts are one-row aggregates brought together by a union."""
-    rows = Workspace(spark, "audit").keep(inventory(spark, folder), "inventory")
+    columns = ("image_id", "fractured", "fracture_count", "hardware", "multiscan", "decode_status", "exif_orientation", "file_md5", "digest")
+    rows = Workspace(spark, "audit").keep(inventory(spark, folder, *columns), "inventory")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     base = rows.agg(
         F.count_distinct("image_id").alias("csv_unique_image_ids"), total("fractured").alias("fractured"), total(1 - F.col("fractured")).alias("non_fractured"), total("fracture_count").alias("fracture_instances"),
@@ -561,7 +542,14 @@ def letterbox_geometry(spark: SparkSession, folder: str) -> DataFrame:
     return inventory(spark, folder, "image_id", "width", "height").where("width > 0 and height > 0").withColumn("scale", scale).select("image_id", "scale", pad("width").alias("pad_x"), pad("height").alias("pad_y"))
 
 
-@query("model_bundle_check", "select path, case when size_bytes <> 338436460 then 'size mismatch' else 'digest mismatch' end as outcome from (select 'a.bin' as path, 338436460 as size_bytes union all select 'b.bin', 12)")
+_BOTH = "size_bytes is not null and file_md5 is not null"
+
+
+@query("model_bundle_check", INV + f", want as (select size_bytes as s, lower(file_md5) as m from inv where image_id = (select min(image_id) from inv where {_BOTH})) select image_id, case when size_bytes <> s then 'size mismatch' when lower(file_md5) <> m then 'digest mismatch' when {_BOTH} then 'accepted' end as outcome from inv, want")
 def model_bundle_check(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([("a.bin", 338436460, "0" * 32), ("b.bin", 12, "f" * 32)], "path string, size_bytes long, md5 string")
-    return rows.select("path", validate.archive_gate(F.col("size_bytes"), F.col("md5"), 338436460, "1" * 32).alias("outcome"))
+    """Every file held against the size and digest expected of it; here those of the first file are expected of all."""
+    rows = inventory(spark, folder, "image_id", "size_bytes", "file_md5")
+    want = rows.where(_BOTH).agg(F.min_by(F.struct("size_bytes", "file_md5"), "image_id").alias("w")).first()["w"]
+    if want is None:
+        return rows.select("image_id", F.lit(None).cast("string").alias("outcome")).limit(0)
+    return rows.select("image_id", validate.archive_gate(F.col("size_bytes"), F.col("file_md5"), want["size_bytes"], want["file_md5"]).alias("outcome"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import platform
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.identity import split_name
 
 COCO = (
     "images array<struct<id: bigint, file_name: string, width: int, height: int>>, "
@@ -27,17 +28,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(manifest: DataFrame, split: str) -> DataFrame:
-    """The rows of one split of a manifest; the filter reaches the scan. An empty split is an error."""
+    """The rows of one split of a manifest. An empty split is an error, told by the first row found.
+
+    Of a manifest written by split, only that split's folder is listed; a split that is worked out from
+    its spelling is filtered after the scan.
+    """
     rows = manifest.where(F.col("split") == split)
     if rows.isEmpty():
         raise ValueError(f"no rows in split {split}")
     return rows
 
 
-def normalised_split(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("split", split_name(F.col("split")))
-
-
 def coco_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of parsed COCO documents."""
     images = documents.select(F.inline("images"))
@@ -50,11 +51,6 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return coco_tables(spark.read.json(path, schema=COCO, multiLine=True))
 
 
-def parse_coco(texts: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    parsed = texts.select(F.from_json(column, COCO).alias("d")).select("d.*")
-    return coco_tables(parsed)
-
-
 def read_yolo(spark: SparkSession, path: str) -> DataFrame:
     """(stem, line_number, line) of label files; blank lines are left out, order is kept."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select("value", F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.txt$", "").alias("stem"))
@@ -109,6 +105,23 @@ def report_json(frame: DataFrame) -> str:
     return json.dumps(frame.first().asDict(recursive=True), indent=2, default=str) + "\n"
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON configuration file, from any file system Spark reads; it must hold one object."""
+    rows = spark.read.text(path, wholetext=True).take(2)
+    found = json.loads(rows[0]["value"]) if len(rows) == 1 else None
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} is no configuration")
+    return found
+
+
+def provenance(spark: SparkSession, config: dict, code: str | None = None) -> DataFrame:
+    """One row on a run: when (UTC), with what versions, which code revision and which settings, and their digest."""
+    settings = json.dumps(config, sort_keys=True, default=str)
+    versions = {"python": platform.python_version(), "spark": spark.version, "numpy": np.__version__, "platform": platform.platform()}
+    row = spark.createDataFrame([(json.dumps(versions, sort_keys=True), code, settings)], "versions string, code string, config string")
+    return row.select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "versions", "code", "config", F.sha2("config", 256).alias("config_sha256"))
+
+
 def data_yaml(folder: str, names: dict[int, str]) -> str:
     """The description file of a detection training folder."""
     return "\n".join([f"path: {folder}", "train: images/train", "val: images/val", "test: images/test", "names:", *[f"  {k}: {v}" for k, v in sorted(names.items())]]) + "\n"
