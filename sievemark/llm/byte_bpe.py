@@ -12,6 +12,7 @@ What is kept is the part behind that point, whatever the length of the text.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -45,6 +46,8 @@ class Vocabulary:
         self.suffixes = {t[k:] for t in ranks for k in range(len(t))}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.own: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
     @classmethod
@@ -62,13 +65,55 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def stands(self, token: int) -> bool:
+        """Whether a token's own bytes encode to it."""
+        known = self.own.get(token)
+        if known is None:
+            known = self.own[token] = self.merged(self.tokens[token]) == [token]
+        return known
+
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made this one, by its own bytes; None for a single byte."""
+        data = self.tokens[token]
+        if len(data) == 1:
+            return None
+        known = self.halves.get(token)
+        if known is None:
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                _, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]])
+        return known
+
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether two tokens can stand next to each other; left -1 is the word's start."""
-        key = (left + 1) << 32 | right
+        """Whether two tokens can stand next to each other; left -1 is the word's start.
+
+        The merges of both sides are undone from the last to the first, each time the later one. If at some point the two tokens
+        at the seam merge earlier than what was undone just before, merging would have crossed the seam. On the right side the seam comes
+        first among equals, since merging goes from the left.
+        """
+        if not self.stands(right):
+            return False
+        if left < 0:
+            return True
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            before = [] if left < 0 else [left]
-            known = self.merged(b"".join(self.tokens[t] for t in [*before, right])) == [*before, right]
+            a, b, before = left, right, float("inf")  # what merges at the seam below this rank would have come first
+            while True:
+                across = self.ranks.get(self.tokens[a] + self.tokens[b])
+                if across is not None and across < before:
+                    known = False
+                    break
+                undo_a, undo_b = self.split(a), self.split(b)
+                if undo_a is None and undo_b is None:
+                    known = True
+                    break
+                if undo_b is None or undo_a is not None and a > b:
+                    before, a = a, undo_a[1]
+                else:
+                    before, b = b + 1, undo_b[0]
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
             self.pairs[key] = known
@@ -136,12 +181,25 @@ class WordTransducer:
         self.checked = 0
 
 
+@lru_cache(maxsize=1)
+def _plain_pattern() -> re.Pattern:
+    """PATTERN with its classes spelled out for the first 65,536 code points, for the standard library's faster matcher."""
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def spelled(kind: str) -> str:
+        return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in regex.findall(f"{kind}+", points))
+
+    letters, numbers, space = spelled(r"\p{L}"), spelled(r"\p{N}"), spelled(r"\s")
+    rest = rf" ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+|{rest}")
+
+
 class Encoder:
     """Text to token ids, without special tokens; their strings are ordinary text."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.words = regex.compile(PATTERN)
+        self.words, self.plain = regex.compile(PATTERN), _plain_pattern()
         self.runs = [regex.compile(r) for r in RUNS]
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -198,7 +256,8 @@ class Encoder:
             return list(self.stream(text[i : i + WINDOW] for i in range(0, len(text), WINDOW)))
         ids: list[int] = []
         known = self.vocabulary.words
-        for word in self.words.findall(text):
+        plain = text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
+        for word in (self.plain if plain else self.words).findall(text):
             ids += known.get(word) or self.word(word)
         return ids
 

@@ -44,6 +44,27 @@ def test_long_words_stream_in_little_memory(theirs, text):
     assert own.encode(text) == theirs(text)
 
 
+def test_words_are_cut_alike_by_both_patterns():
+    rng, own = random.Random(12), Encoder(vocabulary(path_of()))
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0xD800), 32, 39, 115, 10, 0x1C, 0x85, 0x3000])) for _ in range(rng.randrange(40)))
+        assert own.plain.findall(text) == own.words.findall(text)
+
+
+def test_neighbours_by_definition():
+    v, rng = vocabulary(path_of()), random.Random(13)
+    v.pairs.clear()
+    common = [t for t in range(3000)]
+    true = 0
+    for k in range(6000):
+        a, b = (rng.choice(common), rng.choice(common)) if k % 2 else (rng.randrange(50256), rng.randrange(50256))
+        if v.stands(a):
+            want = v.merged(v.tokens[a] + v.tokens[b]) == [a, b]
+            assert v.neighbours(a, b) == want
+            true += want
+    assert 300 < true < 5900
+
+
 def test_merge_by_definition():
     v = vocabulary(path_of())
     rng, own = random.Random(8), Encoder(v)
