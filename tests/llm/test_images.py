@@ -21,13 +21,9 @@ def flipped(rng, v, n):
     return v ^ sum(1 << b for b in rng.sample(range(64), n))
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, name):
-    frame = queries.QUERIES[name](spark, oracle.DATA)
-    if name in queries.SQL:
-        oracle.same(frame, queries.SQL[name])
-    else:
-        assert frame.columns and frame.count() >= 0
+    oracle.same(queries.QUERIES[name](spark, oracle.DATA), queries.SQL[name])
 
 
 def test_changed_bits_leave_a_key_whole():
