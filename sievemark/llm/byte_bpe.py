@@ -6,7 +6,8 @@ one last token, found from the tokens that end there. Only positions from which
 could still reach beyond the bytes seen so far can matter to later bytes: at most the
 longest token's length less one, the merge list's lookahead. Where the chains
 of last tokens from all these positions meet, everything before is final and emitted.
-What is kept is the part behind that point, whatever the length of the text.
+What is kept is the part behind that point, whatever the length of the text. A word short enough to be
+held is encoded by the same neighbours, from its start and with the same lookahead.
 """
 
 from __future__ import annotations
@@ -206,14 +207,59 @@ class Encoder:
         known = self.vocabulary.words
         ids = known.get(word)
         if ids is None:
-            transducer = WordTransducer(self.vocabulary)
-            ids = (*transducer.feed(word.encode("utf-8")), *transducer.finish())
+            data = word.encode("utf-8")
+            if len(data) <= LONG:
+                ids = tuple(self.looked_ahead(data))
+            else:
+                transducer = WordTransducer(self.vocabulary)
+                ids = (*transducer.feed(data), *transducer.finish())
             if len(known) >= REMEMBERED:
                 known.clear()
             if len(word) <= 64:
                 known[word] = ids
         return ids
 
+    def looked_ahead(self, data: bytes) -> list[int]:
+        """The encoding of a word held as a whole, token by token.
+
+        From each point the longest token that can follow is tried first, looking ahead no further than the
+        vocabulary's lookahead. A point has one encoding before it, so one that leads nowhere is never tried twice: as
+        many steps as tokens, or few more.
+        """
+        v, size = self.vocabulary, len(data)
+
+        def ahead(start: int) -> list[int]:
+            found = []
+            for end in range(start + 1, size + 1):
+                piece = data[start:end]
+                token = v.ranks.get(piece)
+                if token is not None:
+                    found.append(token)
+                if piece not in v.prefixes:
+                    break
+            return found
+
+        ids: list[int] = []
+        points, options, dead = [0], [ahead(0)], set()
+        while points[-1] < size:
+            here, last = points[-1], ids[-1] if ids else -1
+            while options[-1]:
+                token = options[-1].pop()
+                end = here + len(v.tokens[token])
+                if end not in dead and v.neighbours(last, token):
+                    ids.append(token)
+                    points.append(end)
+                    options.append(ahead(end))
+                    break
+            else:
+                if not ids:
+                    raise ValueError("the vocabulary has no token for a byte")
+                dead.add(here)
+                points.pop()
+                options.pop()
+                ids.pop()
+        return ids
+
     def stream(self, parts: Iterable[str]) -> Iterator[int]:
         """Ids of a text that comes in parts; holds a window of it, not the whole.
 

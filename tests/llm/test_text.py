@@ -65,6 +65,15 @@ def test_neighbours_by_definition():
     assert 300 < true < 5900
 
 
+def test_looking_ahead_equals_the_transducer():
+    v, rng = vocabulary(path_of()), random.Random(14)
+    own = Encoder(v)
+    for k in range(1500):
+        data = bytes(rng.choice([rng.randrange(256), 97, 110, 101, 32]) for _ in range(rng.randrange(1, 60))) if k % 3 else ("".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 30)))).encode()
+        transducer = byte_bpe.WordTransducer(v)
+        assert own.looked_ahead(data) == [*transducer.feed(data), *transducer.finish()] == v.merged(data)
+
+
 def test_merge_by_definition():
     v = vocabulary(path_of())
     rng, own = random.Random(8), Encoder(v)
