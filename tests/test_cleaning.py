@@ -189,3 +189,23 @@ def test_near_pair_places_rank_the_pairs(spark):
     order = [(last(r.phash_distance), last(r.dhash_distance), last(None if r.global_ssim is None else -r.global_ssim), r.pair_id) for r in rows]
     assert order == sorted(order) and [r.place for r in rows] == list(range(1, len(rows) + 1))
     assert any(r.phash_distance is None for r in rows) and {"anatomy", "label_conflict"} <= set(rows[0].asDict())
+
+
+def test_references_to_one_image_are_split(spark, ws):
+    """A third of all references name one image: adaptive execution must split their partition."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2.0", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        moment = F.lit("2024-01-01").cast("timestamp_ntz")
+        images = spark.range(5000).select(F.concat(F.lit("I"), F.col("id")).alias("image_id"), moment.alias("ingested_at"), F.lit(None).cast("timestamp_ntz").alias("withdrawn_at"), F.lit(1).alias("fracture_count"))
+        life = ws.keep(orphans.image_life(images), "life")
+        refs = ws.keep(spark.range(0, 30000, 1, 16).select(F.col("id").alias("ref_id"), F.when(F.col("id") % 3 == 0, "I7").otherwise(F.concat(F.lit("I"), F.col("id") % 6000)).alias("image_key"), moment.alias("recorded_at")), "refs")
+        joined = orphans.direct_orphans(refs, life)
+        assert joined.where("orphan").count() == sum(i % 3 > 0 and i % 6000 >= 5000 for i in range(30000))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
