@@ -30,7 +30,9 @@ def near_members(images: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame
     apart = ws.keep(near_vectors(vectors.select("p", "d"), ws), "near")
     same = vectors.where("n > 1").select(F.col("p").alias("p1"), F.col("d").alias("d1"), F.col("p").alias("p2"), F.col("d").alias("d2"))
     pairs = apart.union(same)
+    # Written, as all that is joined back on its own key: the images of one hash value can then be split.
     touched = pairs.select(F.inline(F.array(F.struct(F.col("p1").alias("p"), F.col("d1").alias("d")), F.struct(F.col("p2").alias("p"), F.col("d2").alias("d"))))).distinct()
+    touched = ws.keep(touched, "touched")
     members = ws.keep(hashed.join(touched, ["p", "d"], "left_semi"), "members")
     classes = _classes(members)
     one = classes.select(*[F.col(c).alias(f"{c}1") for c in ("p", "d", "hi", "lo", "n")])
@@ -91,7 +93,8 @@ def near_groups(images: DataFrame, ws: Workspace) -> DataFrame:
         .join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
         .withColumn("root", F.coalesce("root", "class"))
     )
-    names = placed.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    placed = ws.keep(placed, "placed")
+    names = ws.keep(placed.groupBy("root").agg(F.min("first_id").alias("group_id")), "names")
     return placed.join(names, "root").join(keyed, "class").select("image_id", "group_id", "links")
 
 
