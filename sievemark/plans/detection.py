@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import boxes as bx
+from ..operators.ordered import numbered
 from ..operators.ranking import confusion
 from ..sources.tables import table
 from ..storage import Workspace
@@ -253,6 +254,17 @@ def group_error_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sums.withColumn("precision", scalar.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", scalar.safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")))
 
 
+_RANKED = """, lg as (select 'anatomy' as "group", anatomy as value, * from fu union all select 'view', view, * from fu), gs as (select "group", value, sum(ground_truth_instances)::bigint as gt, sum(tp) / greatest(1, sum(tp) + sum(fn)) as recall from lg group by 1, 2)
+    select "group", value, gt, recall, row_number() over (partition by "group" order by recall, gt desc, value) as place from gs"""
+
+
+@query("group_error_ranking", SQL_FUSED_ALL + _RANKED)
+def group_error_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of each field from the worst recall on, then by falling number of targets, then by name."""
+    sums = group_error_summary(spark, folder).select("group", "value", "gt", "recall")
+    return numbered(sums, Workspace(spark, "grouprank"), [F.col("recall"), F.col("gt").desc(), F.col("value")], "place", ("group",))
+
+
 @query("worst_images", SQL_FUSED_ALL + " select image, fn, fp from fu order by fn desc, fp desc, image limit 20")
 def worst_images(spark: SparkSession, folder: str) -> DataFrame:
     return views.fused_images(spark, folder).select("image", "fn", "fp").orderBy(F.col("fn").desc(), F.col("fp").desc(), "image").limit(20)

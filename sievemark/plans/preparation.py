@@ -199,12 +199,12 @@ _EDITED = "(select vec_id, embedding, label from embeddings union all select -1
     c as (select a.vec_id as left_id, b.vec_id as right_id, bit_count(xor(a.p::bit, b.p::bit))::int as phash_distance, bit_count(xor(a.d::bit, b.d::bit))::int as dhash_distance, a.px as pa, b.px as pb from h a join h b on a.label = b.label and a.vec_id < b.vec_id),
     f as (select *, list_avg(pa) as ma, list_avg(pb) as mb, list_avg(list_transform(pa, lambda x: x * x)) as qa, list_avg(list_transform(pb, lambda x: x * x)) as qb, list_avg(list_transform(range(64), lambda i: pa[i + 1] * pb[i + 1])) as q from c where phash_distance <= 4 or dhash_distance <= 2),
     g as (select *, qa - ma * ma as va, qb - mb * mb as vb, q - ma * mb as cov from f)
-    select left_id, right_id, phash_distance, dhash_distance, {audit._SSIM} as global_ssim from g where {audit._SSIM} >= 0.92""",
+    select left_id, right_id, phash_distance, dhash_distance, {audit._SSIM} as global_ssim from g where {audit._SSIM} >= 0.92 or (phash_distance <= 2 and dhash_distance <= 2)""",
 )
 def near_dup_refined(spark: SparkSession, folder: str) -> DataFrame:
     """Near pairs at the stated limits (4 bits of phash or 2 of dhash) by bands, refined by SSIM of at least 0.92.
 
-    Only pairs that share a band are compared, and only those within the limits read pixels.
+    Pairs within 2 bits of both hashes stay whatever their SSIM. Only pairs that share a band are compared, and only those within the limits read pixels.
     """
     ws = Workspace(spark, "refined")
     rows = _with_edits(spark, folder)
@@ -216,7 +216,7 @@ def near_dup_refined(spark: SparkSession, folder: str) -> DataFrame:
     return full.select(
         F.col("left").alias("left_id"), F.col("right").alias("right_id"), scalar.hamming(F.col("left_p"), F.col("right_p")).alias("phash_distance"), scalar.hamming(F.col("left_d"), F.col("right_d")).alias("dhash_distance"),
         scalar.structural_similarity(F.col("left_px"), F.col("right_px")).alias("global_ssim"),
-    ).where("global_ssim >= 0.92")
+    ).where("global_ssim >= 0.92 or (phash_distance <= 2 and dhash_distance <= 2)")
 
 
 _CUT = "case when (upto - size / 2) / total <= 0.7::double then 'train' when (upto - size / 2) / total <= 0.7::double + 0.2::double then 'test' else 'validation' end"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import platform
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 COCO = (
@@ -136,6 +139,21 @@ def normalised_text_digest(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", part.alias("part")))), lambda x: x["part"]), ""), 256).alias("sha256"))
 
 
+def transformed(frame: DataFrame, transform: Callable[[dict], dict], schema: str) -> DataFrame:
+    """A scan with a caller's transform of each row, a dictionary to a dictionary, run on Arrow batches.
+
+    For transforms that no column expression can state; one that raises fails the task. Columns that the result lacks are null.
+    """
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_pylist([transform(row) for row in part.to_pylist()], schema=arrow)
+
+    return frame.mapInArrow(run, kind)
+
+
 def batches(frame: DataFrame, size: int) -> DataFrame:
     """The frame with batch_id: consecutive chunks of at most ``size`` rows within partitions."""
     place = F.monotonically_increasing_id()

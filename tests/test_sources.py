@@ -57,6 +57,13 @@ def test_catalogue_digests_and_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "labels")).first().text == "first\nsecond"
 
 
+def test_scan_with_a_transform(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "n bigint, t string")
+    got = files.transformed(rows, lambda r: {"n": r["n"] * 2, "size": len(r["t"] or "")}, "n bigint, size int, extra string")
+    assert sorted(map(tuple, got.collect())) == [(2, 1, None), (4, 0, None)]
+    assert files.transformed(rows.limit(0), dict, "n bigint").count() == 0
+
+
 def test_stream_counts_like_a_table(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 01:00:00", 1, 0.9), ("2024-01-01 02:00:00", 0, 0.9), ("2024-01-09 00:00:00", 1, 0.1), (None, 1, 0.5)], "t string, label int, probability double").select(F.col("t").cast("timestamp").alias("ts"), "label", "probability")
     rows.write.parquet(str(tmp_path / "in"))
